@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurybox import schemas
 from jurybox.functions.answers import parser
 from jurybox.operators.joins import lookup_join
 from jurybox.sources.registry import (
@@ -50,6 +49,15 @@ def attach_model(df: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame
     return good, marked.where(F.col("reason").isNotNull()).select(*df.columns, "reason")
 
 
+def check_models(models: DataFrame) -> DataFrame:
+    """Raise if a model of the registry cannot be asked; looks at the registry only."""
+    _, bad = attach_model(models.select("model_id"), models)
+    first = bad.agg(F.min("reason").alias("reason")).first()["reason"]
+    if first is not None:
+        raise ValueError(first)
+    return models
+
+
 def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFrame:
     """One user message per row, with the settings `attach_model` put there."""
     message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
@@ -75,19 +83,24 @@ def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFr
 CACHE_KEY = ["model_id", "prompt_sha256"]
 
 
-def cache_split(
-    requests: DataFrame, judged: DataFrame, salted: bool | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): requests whose prompt the same model has answered before.
+def mark_cached(requests: DataFrame, judged: DataFrame, salted: bool | None = None) -> DataFrame:
+    """Add `cache_hit`: whether the same model has answered the same prompt before.
 
     `judged` carries `prompt_sha256`. Only its distinct keys take part, so
     neither repeated prompts nor repeated runs multiply rows.
     """
-    keys = judged.select(*CACHE_KEY).distinct()
+    keys = judged.select(*CACHE_KEY).distinct().withColumn("cache_hit", F.lit(True))
     spread = [c for c in ("line_no", *PAIR) if c in requests.columns]
-    hits = lookup_join(requests, keys, CACHE_KEY, "left_semi", spread, salted=salted)
-    misses = lookup_join(requests, keys, CACHE_KEY, "left_anti", spread, salted=salted)
-    return hits.withColumn("cache_hit", F.lit(True)), misses.withColumn("cache_hit", F.lit(False))
+    marked = lookup_join(requests, keys, CACHE_KEY, "left", spread, salted=salted)
+    return marked.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
+
+
+def cache_split(
+    requests: DataFrame, judged: DataFrame, salted: bool | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of `mark_cached`."""
+    marked = mark_cached(requests, judged, salted)
+    return marked.where("cache_hit"), marked.where("NOT cache_hit")
 
 
 def answer_from_cache(hits: DataFrame, judged: DataFrame, salted: bool | None = None) -> DataFrame:
@@ -223,6 +236,3 @@ def infer_summary(judgements: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(F.col("label").isNull()).alias("error_count"),
         F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_latency_ms"),
     )
-
-
-JUDGEMENT_COLUMNS = [f.name for f in schemas.JUDGEMENTS]

@@ -4,43 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-QUERIES = T.StructType.fromDDL("query_id string, query_text string")
-DOCUMENTS = T.StructType.fromDDL("docid string, doc string")
-QRELS = T.StructType.fromDDL("query_id string, docid string, relevance bigint")
-REJECTS = T.StructType.fromDDL("source string, line_no bigint, reason string, raw string")
+STRING, BIGINT, INT, DOUBLE = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
+BOOLEAN, TIMESTAMP = T.BooleanType(), T.TimestampType()
+TEXT_MAP = T.MapType(STRING, STRING)
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-SAMPLES = T.StructType.fromDDL(
-    "dataset string, query_id string, query_text string, docid string, doc string, gold_relevance bigint"
-)
 
-JUDGEMENTS = T.StructType.fromDDL(
-    "model_id string, provider string, version string, query_id string, docid string, "
-    "label int, score double, confidence double, rationale string, raw_text string, "
-    "latency_ms double, retries int, cost_estimate double, warnings array<string>, "
-    "cache_hit boolean"
+QUERIES = _table(query_id=STRING, query_text=STRING)
+DOCUMENTS = _table(docid=STRING, doc=STRING)
+QRELS = _table(query_id=STRING, docid=STRING, relevance=BIGINT)
+REJECTS = _table(source=STRING, line_no=BIGINT, reason=STRING, raw=STRING)
+
+SAMPLES = _table(
+    dataset=STRING, query_id=STRING, query_text=STRING, docid=STRING, doc=STRING, gold_relevance=BIGINT
 )
 
-MODELS = T.StructType.fromDDL(
-    "model_id string, provider string, context_window int, default_params map<string,string>, "
-    "capabilities map<string,string>, hf_endpoint_url string, hf_model_name string, "
-    "openrouter_model_id string"
+JUDGEMENTS = _table(
+    model_id=STRING, provider=STRING, version=STRING, query_id=STRING, docid=STRING, label=INT,
+    score=DOUBLE, confidence=DOUBLE, rationale=STRING, raw_text=STRING, latency_ms=DOUBLE, retries=INT,
+    cost_estimate=DOUBLE, warnings=T.ArrayType(STRING), cache_hit=BOOLEAN,
 )
 
 # Fields every log record carries, plus the event fields the reports read.
 # Fields beyond these stay reachable through the VARIANT column `fields`.
-LOGS = T.StructType.fromDDL(
-    "event string, cli string, run_id string, git_sha string, level string, logger string, "
-    "timestamp timestamp, query_id string, doc_id string, label int, latency_ms double, "
-    "error string, error_type string, dataset string, data_dir string, `limit` bigint, "
-    "sample_count bigint, model string, num_samples bigint"
-)
-
-MANIFESTS = T.StructType.fromDDL(
-    "run_id string, cli_name string, timestamp timestamp, cli_args map<string,string>, "
-    "git_sha string, git_clean boolean, git_branch string"
+LOGS = _table(
+    event=STRING, cli=STRING, run_id=STRING, git_sha=STRING, level=STRING, logger=STRING,
+    timestamp=TIMESTAMP, query_id=STRING, doc_id=STRING, label=INT, latency_ms=DOUBLE, error=STRING,
+    error_type=STRING, dataset=STRING, data_dir=STRING, limit=BIGINT, sample_count=BIGINT, model=STRING,
+    num_samples=BIGINT,
 )
 
-COMPLETIONS = T.StructType.fromDDL(
-    "model_id string, query_id string, docid string, raw_text string, version string, "
-    "latency_ms double, retries int, cost_estimate double"
+MANIFESTS = _table(
+    run_id=STRING, cli_name=STRING, timestamp=TIMESTAMP, cli_args=TEXT_MAP, git_sha=STRING,
+    git_clean=BOOLEAN, git_branch=STRING,
 )

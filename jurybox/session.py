@@ -24,3 +24,11 @@ def get_session(app: str = "jurybox", **overrides: str) -> SparkSession:
     for key, value in {**SETTINGS, **{k.replace("_", "."): v for k, v in overrides.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
+    """The shared folder the cluster names; `default` only where it names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or default
+    if not found:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder all executors can reach")
+    return found

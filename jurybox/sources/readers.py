@@ -81,7 +81,7 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     """Typed log fields; the whole record stays reachable as VARIANT `fields`."""
     return (
         lines.where(strip(F.col("value")) != "")
-        .withColumn("_t", F.from_json("value", schemas.LOGS, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"}))
+        .withColumn("_t", F.from_json("value", schemas.LOGS))
         .select("_t.*", F.try_parse_json("value").alias("fields"))
     )
 
