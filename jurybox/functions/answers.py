@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jurybox.functions.text import label_id, label_name, score_from_label
+from jurybox.functions.text import label_id, once, score_from_label
 
 # The answer pattern and the warnings of the graded-score parser.
 SCORE_OBJECT = r'\{[^}]*"O"\s*:\s*\d+[^}]*\}'
@@ -52,70 +52,81 @@ def parse_label(raw: Column) -> Column:
     The text value of O comes from one parse, its integer value from a second
     one, which is null for 2.0, 1e0 or "2".
     """
-    js = _first_match(raw, SCORE_OBJECT)
-    loose = _with_bad(js, "O string")
-    number = F.from_json(js, "O bigint", _STRICT)["O"]
-    value = loose["O"]
-    valid = number.isin(0, 1, 2)
-    bad = loose["_bad"].isNotNull()
-    label = F.when(~bad & valid, number.cast("int"))
-    warnings = _warn(
-        (js.isNull(), F.lit(NO_OBJECT)),
-        (bad, F.concat(F.lit(BAD_JSON), js)),
-        (value.isNull(), F.lit(NO_FIELD)),
-        (
-            number.isNull() | ~valid,
-            F.concat(F.lit("Invalid O score: "), value, F.lit(" (expected 0, 1, or 2)")),
-        ),
-    )
+
+    def parsed(js: Column) -> Column:
+        loose = _with_bad(js, "O string")
+        return F.struct(
+            js.alias("js"), loose["_bad"].isNotNull().alias("bad"), loose["O"].alias("value"),
+            F.from_json(js, "O bigint", _STRICT)["O"].alias("number"),
+        )
+
+    def judged(a: Column) -> Column:
+        label = F.when(~a["bad"] & a["number"].isin(0, 1, 2), a["number"].cast("int"))
+        invalid = F.concat(F.lit("Invalid O score: "), a["value"], F.lit(" (expected 0, 1, or 2)"))
+        warnings = _warn(
+            (a["js"].isNull(), F.lit(NO_OBJECT)),
+            (a["bad"], F.concat(F.lit(BAD_JSON), a["js"])),
+            (a["value"].isNull(), F.lit(NO_FIELD)),
+            (label.isNull(), invalid),
+        )
+        return _answer(label, warnings)
+
+    return once(once(_first_match(raw, SCORE_OBJECT), parsed), judged)
+
+
+def _answer(label: Column, warnings: Column, confidence: Column | None = None, rationale: Column | None = None) -> Column:
+    """The struct every parser gives."""
     return F.struct(
         label.alias("label"),
         score_from_label(label).alias("score"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.lit(None).cast("string").alias("rationale"),
+        (F.lit(None) if confidence is None else confidence).cast("double").alias("confidence"),
+        (F.lit(None) if rationale is None else rationale).cast("string").alias("rationale"),
         warnings.alias("warnings"),
     )
 
 
 def parse_aspects(raw: Column) -> Column:
     """The aspect scores M, T and O of the same object, null where not integers."""
-    js = _first_match(raw, SCORE_OBJECT)
 
-    def field(key: str) -> Column:
-        return F.from_json(js, f"{key} bigint", _STRICT)[key].try_cast("int").alias(key.lower())
+    def fields(js: Column) -> Column:
+        # Parsed one by one: a value of the wrong type voids only itself.
+        return F.struct(
+            *[F.from_json(js, f"{k} bigint", _STRICT)[k].try_cast("int").alias(k.lower()) for k in ("M", "T", "O")]
+        )
 
-    return F.struct(field("M"), field("T"), field("O"))
+    return once(_first_match(raw, SCORE_OBJECT), fields)
 
 
 def parse_relevance_v1(raw: Column) -> Column:
     """Label name, confidence and rationale from the first object with a label."""
-    js = _first_match(raw, LABEL_OBJECT)
-    obj = _with_bad(js, "label string, rationale string")
-    # Read apart, so that a confidence of the wrong type does not void the label.
-    conf_text = F.from_json(js, "confidence string", _STRICT)["confidence"]
-    conf = F.from_json(js, "confidence double", _STRICT)["confidence"]
-    bad = obj["_bad"].isNotNull()
-    label = F.when(~bad, label_id(obj["label"]))
-    in_range = conf.between(0.0, 1.0)
-    first = _warn(
-        (js.isNull(), F.lit(NO_LABEL_OBJECT)),
-        (bad, F.concat(F.lit(BAD_JSON), js)),
-        (obj["label"].isNull(), F.lit(NO_LABEL)),
-        (label.isNull(), F.concat(F.lit("Invalid label: "), obj["label"])),
-    )
-    second = _warn(
-        (
-            ~bad & conf_text.isNotNull() & ~F.coalesce(in_range, F.lit(False)),
-            F.concat(F.lit("Invalid confidence: "), conf_text),
-        ),
-    )
-    return F.struct(
-        label.alias("label"),
-        score_from_label(label).alias("score"),
-        F.when(~bad & in_range, conf).alias("confidence"),
-        F.when(~bad, obj["rationale"]).alias("rationale"),
-        F.concat(first, second).alias("warnings"),
-    )
+
+    def parsed(js: Column) -> Column:
+        obj = _with_bad(js, "label string, rationale string, confidence string")
+        return F.struct(
+            js.alias("js"), obj["_bad"].isNotNull().alias("bad"), obj["label"].alias("name"),
+            obj["rationale"].alias("rationale"), obj["confidence"].alias("said"),
+            # Apart, so that a confidence of the wrong type does not void the label.
+            F.from_json(js, "confidence double", _STRICT)["confidence"].alias("confidence"),
+        )
+
+    def judged(a: Column) -> Column:
+        label = F.when(~a["bad"], label_id(a["name"]))
+        in_range = F.coalesce(a["confidence"].between(0.0, 1.0), F.lit(False))
+        of_label = _warn(
+            (a["js"].isNull(), F.lit(NO_LABEL_OBJECT)),
+            (a["bad"], F.concat(F.lit(BAD_JSON), a["js"])),
+            (a["name"].isNull(), F.lit(NO_LABEL)),
+            (label.isNull(), F.concat(F.lit("Invalid label: "), a["name"])),
+        )
+        of_confidence = _warn(
+            (~a["bad"] & a["said"].isNotNull() & ~in_range, F.concat(F.lit("Invalid confidence: "), a["said"]))
+        )
+        return _answer(
+            label, F.concat(of_label, of_confidence), F.when(~a["bad"] & in_range, a["confidence"]),
+            F.when(~a["bad"], a["rationale"]),
+        )
+
+    return once(once(_first_match(raw, LABEL_OBJECT), parsed), judged)
 
 
 Parser = Callable[[Column], Column]
@@ -137,8 +148,3 @@ def parser(name: str) -> Parser:
         raise KeyError(f"Unknown response parser: {name}. Known: {', '.join(sorted(PARSERS))}")
     return PARSERS[name]
 
-
-__all__ = [
-    "PARSERS", "label_name", "parse_aspects", "parse_label", "parse_relevance_v1",
-    "parser", "register_parser",
-]

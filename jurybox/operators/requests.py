@@ -185,7 +185,8 @@ def to_judgement(df: DataFrame, response_parser: str = "parse_thomas_response")
     model_id stays the registry's id, by which weights are keyed; `version` is
     the model the answer names, else the provider's id.
     """
-    parsed = df.withColumn("_p", parser(response_parser)(F.col("raw_text")))
+    # Out of a generator, so that a later filter on the label does not parse again.
+    parsed = df.select("*", F.explode(F.array(parser(response_parser)(F.col("raw_text")))).alias("_p"))
     given = set(df.columns)
 
     def field(name: str, default: Any, kind: str):

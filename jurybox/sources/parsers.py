@@ -7,12 +7,12 @@ is blank, good or rejected.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.functions.text import split_words, strip, to_bigint
+from jurybox.functions.text import blank, split_words, strip, to_bigint
 from jurybox.sources.lines import read_lines
 
 # File names of the dataset and the name every sample carries.
@@ -25,64 +25,83 @@ QREL_FILE = "llm4eval_test_qrel_2024.txt"
 Parsed = tuple[DataFrame, DataFrame]
 
 
-def _divide(df: DataFrame, source: str, reason: Column, good: list[Column | str]) -> Parsed:
+def parsed_lines(lines: DataFrame, keep: Column, **parts: Column) -> DataFrame:
+    """Lines with `keep`, and the columns `parts` evaluated once per line.
+
+    The parts come out of a generator, because a filter on a computed column
+    would be pushed below the projection and compute it again.
+    """
+    row = F.struct(*[c.alias(name) for name, c in parts.items()])
+    return lines.select("line_no", "value", F.inline(F.when(keep, F.array(row))))
+
+
+def divide(parsed: DataFrame, source: str, reason: Column, good: list[Column]) -> Parsed:
     """Split rows on `reason`, which is null for a good row."""
-    marked = df.withColumn("_reason", reason)
-    rejects = marked.where(F.col("_reason").isNotNull()).select(
-        F.lit(source).alias("source"), "line_no", F.col("_reason").alias("reason"), F.col("value").alias("raw")
+    rejects = parsed.where(reason.isNotNull()).select(
+        F.lit(source).alias("source"), "line_no", reason.alias("reason"), F.col("value").alias("raw")
     )
-    return marked.where(F.col("_reason").isNull()).select("line_no", *good), rejects
+    return parsed.where(reason.isNull()).select("line_no", *good), rejects
 
 
 def parse_queries(lines: DataFrame) -> Parsed:
     """Tab-separated query_id and text, split at the first tab, both stripped."""
-    parts = lines.where(F.col("value") != "").withColumn("_p", F.split("value", "\t", 2))
+    parts = parsed_lines(lines, F.col("value") != "", _p=F.split("value", "\t", 2))
     reason = F.when(F.size("_p") != 2, F.lit("Invalid query line"))
     good = [strip(F.col("_p")[0]).alias("query_id"), strip(F.try_element_at("_p", F.lit(2))).alias("query_text")]
-    return _divide(parts, "queries", reason, good)
+    return divide(parts, "queries", reason, good)
 
 
-def parse_documents(lines: DataFrame) -> Parsed:
-    """One JSON object per line with string fields docid and doc.
+def json_object(value: Column, fields: Sequence[str]) -> Column:
+    """The line's JSON object with its fields as VARIANT; null if it is not one.
 
     The line is parsed as the first of two array elements, so that text after
-    the object is an error; the fields are VARIANT, so that a number is not
-    taken for a string.
+    the object is an error; VARIANT fields keep a number from passing as a
+    string. JSON itself allows the usual spaces around; others are stripped only
+    where the first parse fails.
     """
-    wrapped = F.concat(F.lit("["), strip(F.col("value")), F.lit(',{"docid":""}]'))
-    objects = F.from_json(wrapped, "array<struct<docid:variant,doc:variant>>", {"allowSingleQuotes": "false"})
-    parsed = (
-        lines.where(strip(F.col("value")) != "")
-        .withColumn("_o", objects)
-        .withColumn("_d", F.when(F.size("_o") == 2, F.col("_o")[0]))
-    )
-    both = (F.expr("schema_of_variant(_d.docid)") == "STRING") & (F.expr("schema_of_variant(_d.doc)") == "STRING")
+    schema = "array<struct<" + ",".join(f"{f}:variant" for f in fields) + ">>"
+
+    def parse(text: Column) -> Column:
+        wrapped = F.concat(F.lit("["), text, F.lit(',{"' + fields[0] + '":""}]'))
+        return F.from_json(wrapped, schema, {"allowSingleQuotes": "false"})
+
+    both = F.coalesce(parse(value), parse(strip(value)))
+    return F.transform(F.filter(F.array(both), lambda o: F.size(o) == 2), lambda o: o[0])
+
+
+def variant_text(path: str) -> Column:
+    return F.expr(f"try_variant_get({path}, '$', 'string')")
+
+
+def is_text(*paths: str) -> Column:
+    """Whether every VARIANT is a JSON string."""
+    return F.expr(" AND ".join(f"coalesce(schema_of_variant({p}) = 'STRING', false)" for p in paths))
+
+
+def parse_documents(lines: DataFrame) -> Parsed:
+    """One JSON object per line with string fields docid and doc."""
+    value = F.col("value")
+    parts = parsed_lines(lines, ~blank(value), _o=json_object(value, ["docid", "doc"]))
+    parts = parts.withColumn("_d", F.get("_o", F.lit(0)))
     reason = F.when(F.col("_d").isNull(), F.lit("Invalid JSONL")).when(
-        ~F.coalesce(both, F.lit(False)), F.lit("Missing docid/doc")
+        ~is_text("_d.docid", "_d.doc"), F.lit("Missing docid/doc")
     )
-    good = [
-        F.expr("try_variant_get(_d.docid, '$', 'string')").alias("docid"),
-        F.expr("try_variant_get(_d.doc, '$', 'string')").alias("doc"),
-    ]
-    return _divide(parsed, "documents", reason, good)
+    good = [variant_text("_d.docid").alias("docid"), variant_text("_d.doc").alias("doc")]
+    return divide(parts, "documents", reason, good)
 
 
 def parse_qrels(lines: DataFrame) -> Parsed:
     """query_id, relevance, docid, separated by whitespace; any integer relevance."""
-    parts = (
-        lines.where(strip(F.col("value")) != "")
-        .withColumn("_p", split_words(F.col("value")))
-        .withColumn("_r", to_bigint(F.try_element_at("_p", F.lit(2))))
-    )
-    reason = F.when(F.size("_p") != 3, F.lit("Invalid qrel line")).when(
-        F.col("_r").isNull(), F.lit("Invalid relevance")
-    )
+    value = F.col("value")
+    parts = parsed_lines(lines, ~blank(value), _p=split_words(value))
+    number = to_bigint(F.try_element_at("_p", F.lit(2)))
+    reason = F.when(F.size("_p") != 3, F.lit("Invalid qrel line")).when(number.isNull(), F.lit("Invalid relevance"))
     good = [
         F.col("_p")[0].alias("query_id"),
         F.try_element_at("_p", F.lit(3)).alias("docid"),
-        F.col("_r").alias("relevance"),
+        number.alias("relevance"),
     ]
-    return _divide(parts, "qrels", reason, good)
+    return divide(parts, "qrels", reason, good)
 
 
 def check(rejects: DataFrame, strict: bool = True) -> DataFrame:

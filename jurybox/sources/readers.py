@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurybox import schemas
-from jurybox.functions.text import strip, to_bigint
+from jurybox.functions.text import blank, strip, to_bigint
 from jurybox.sources.lines import read_lines
-from jurybox.sources.parsers import DATASET, Parsed, _divide
+from jurybox.sources.parsers import DATASET, Parsed, divide, is_text, json_object, parsed_lines, variant_text
 
 
 def parse_samples(lines: DataFrame) -> Parsed:
@@ -20,30 +20,20 @@ def parse_samples(lines: DataFrame) -> Parsed:
     An integer written as text or as a whole float is taken, as the declared
     row type allows; a number in a text field is not.
     """
-    fields = ", ".join(f"{f.name}: variant" for f in schemas.SAMPLES)
-    objects = F.from_json(
-        F.concat(F.lit("["), strip(F.col("value")), F.lit(',{"docid":""}]')),
-        f"array<struct<{fields}>>", {"allowSingleQuotes": "false"},
-    )
-    parsed = (
-        lines.where(strip(F.col("value")) != "")
-        .withColumn("_o", objects)
-        .withColumn("_s", F.when(F.size("_o") == 2, F.col("_o")[0]))
-    )
-    text = [f.name for f in schemas.SAMPLES if f.name != "gold_relevance"]
-    typed = reduce(lambda a, b: a & b, [F.expr(f"schema_of_variant(_s.{c}) = 'STRING'") for c in text])
-    as_text = F.expr("try_variant_get(_s.gold_relevance, '$', 'string')")
-    whole = F.regexp_replace(as_text, r"\.0*$", "")
+    names = [f.name for f in schemas.SAMPLES]
+    value = F.col("value")
+    parts = parsed_lines(lines, ~blank(value), _o=json_object(value, names)).withColumn("_s", F.get("_o", F.lit(0)))
+    text = [c for c in names if c != "gold_relevance"]
+    as_text = variant_text("_s.gold_relevance")
     kind = F.expr("schema_of_variant(_s.gold_relevance)")
-    gold = F.when(kind == "STRING", to_bigint(strip(as_text))).when(kind != "BOOLEAN", to_bigint(whole))
-    parsed = parsed.withColumn("_gold", gold)
-    dataset = F.expr("try_variant_get(_s.dataset, '$', 'string')")
-    ok = typed & (dataset == DATASET) & F.col("_gold").isNotNull()
-    reason = F.when(F.col("_s").isNull(), F.lit("Invalid JSON")).when(
-        ~F.coalesce(ok, F.lit(False)), F.lit("Invalid sample")
+    gold = F.when(kind == "STRING", to_bigint(strip(as_text))).when(
+        kind != "BOOLEAN", to_bigint(F.regexp_replace(as_text, r"\.0*$", ""))
     )
-    good = [F.expr(f"try_variant_get(_s.{c}, '$', 'string')").alias(c) for c in text]
-    return _divide(parsed, "samples", reason, [*good, F.col("_gold").alias("gold_relevance")])
+    known = F.coalesce(variant_text("_s.dataset") == DATASET, F.lit(False))
+    ok = is_text(*[f"_s.{c}" for c in text]) & known & gold.isNotNull()
+    reason = F.when(F.col("_s").isNull(), F.lit("Invalid JSON")).when(~ok, F.lit("Invalid sample"))
+    good = [variant_text(f"_s.{c}").alias(c) for c in text]
+    return divide(parts, "samples", reason, [*good, gold.alias("gold_relevance")])
 
 
 def read_samples(spark: SparkSession, path: str) -> Parsed:
@@ -79,11 +69,8 @@ def peek(spark: SparkSession, glob: str, n: int = 50) -> DataFrame:
 
 def parse_logs(lines: DataFrame) -> DataFrame:
     """Typed log fields; the whole record stays reachable as VARIANT `fields`."""
-    return (
-        lines.where(strip(F.col("value")) != "")
-        .withColumn("_t", F.from_json("value", schemas.LOGS))
-        .select("_t.*", F.try_parse_json("value").alias("fields"))
-    )
+    record = F.when(~blank(F.col("value")), F.array(F.from_json("value", schemas.LOGS)))
+    return lines.select("value", F.inline(record)).withColumn("fields", F.try_parse_json("value")).drop("value")
 
 
 def read_logs(spark: SparkSession, glob: str | list[str]) -> DataFrame:
