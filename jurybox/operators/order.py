@@ -48,10 +48,9 @@ def order_statistics(
     spans = counts.groupBy("_g").agg(
         F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    wanted = [
-        F.struct(F.lit(k).alias("_name"), r.cast("bigint").alias("_rank"), "_lo", "_hi") for k, r in ranks.items()
-    ]
-    targets = spans.select("_g", F.array(*wanted).alias("_targets"))
+    # One row per group: intervals, each with the ranks to find inside it.
+    wanted = F.array(*[F.struct(F.lit(k).alias("_name"), r.cast("bigint").alias("_rank")) for k, r in ranks.items()])
+    targets = spans.select("_g", F.array(F.struct("_lo", "_hi", wanted.alias("_ranks"))).alias("_targets"))
 
     for _ in range(levels):
         # Rounding keeps the order of values, so every range is an interval.
@@ -59,13 +58,16 @@ def order_statistics(
         cell = F.floor(F.coalesce(place, F.lit(0.0)) * ranges).cast("int")
         cells = (
             _inside(counts, targets, by, salted)
-            .groupBy("_g", "_name", "_rank", cell.alias("_cell"))
-            .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .groupBy("_g", F.col("_lo").alias("_from"), cell.alias("_cell"))
+            .agg(
+                F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                F.any_value("_ranks").alias("_ranks"),
+            )
         )
-        target = F.struct("_name", "_rank", "_lo", "_hi")
-        targets = _pick(cells, "_cell").groupBy("_g").agg(F.collect_list(target).alias("_targets"))
+        interval = F.struct("_lo", "_hi", "_ranks")
+        targets = _pick(cells, "_from", "_cell").groupBy("_g").agg(F.collect_list(interval).alias("_targets"))
 
-    final = _pick(_inside(counts, targets, by, salted), "_v")
+    final = _pick(_inside(counts, targets, by, salted), "_lo", "_v").select("_g", "_v", F.inline("_ranks"))
     at = [F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks]
     return final.groupBy("_g").agg(*at).select(*[F.col(f"_g.{b}").alias(b) for b in by], *ranks)
 
@@ -76,9 +78,9 @@ def _group(by: Sequence[str]) -> Column:
 
 
 def _inside(counts: DataFrame, targets: DataFrame, by: Sequence[str], salted: bool | None) -> DataFrame:
-    """Counted values inside the range of a target, once per target.
+    """Counted values inside an interval of their group, with the interval.
 
-    `targets` has one row per group, of as many entries as ranks are asked for.
+    `targets` has one row per group, of no more intervals than ranks asked for.
     """
     if by:
         joined = lookup_join(counts, targets, "_g", salted=salted)
@@ -88,13 +90,15 @@ def _inside(counts: DataFrame, targets: DataFrame, by: Sequence[str], salted: bo
     return joined.select("_g", "_v", "_n", F.inline(hit))
 
 
-def _pick(df: DataFrame, order: str) -> DataFrame:
-    """The row at which the running count passes the rank; the rank becomes relative to it."""
-    running = Window.partitionBy("_g", "_name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def _pick(df: DataFrame, interval: str, order: str) -> DataFrame:
+    """Rows at which the running count passes a rank; these ranks, relative to the row."""
+    running = Window.partitionBy("_g", interval).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     passed = df.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    return passed.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto"))).withColumn(
-        "_rank", F.col("_rank") - F.col("_before")
+    here = F.transform(
+        F.filter("_ranks", lambda r: (r["_rank"] >= F.col("_before")) & (r["_rank"] < F.col("_upto"))),
+        lambda r: F.struct(r["_name"].alias("_name"), (r["_rank"] - F.col("_before")).alias("_rank")),
     )
+    return passed.withColumn("_ranks", here).where(F.size("_ranks") > 0)
 
 
 def percentiles(
