@@ -54,10 +54,11 @@ def parse_label(raw: Column) -> Column:
     """
 
     def parsed(js: Column) -> Column:
-        loose = _with_bad(js, "O string")
+        loose, strict = _with_bad(js, "O string"), _with_bad(js, "O bigint")
         return F.struct(
             js.alias("js"), loose["_bad"].isNotNull().alias("bad"), loose["O"].alias("value"),
-            F.from_json(js, "O bigint", _STRICT)["O"].alias("number"),
+            # A repeated key leaves its earlier value behind when the last one is bad.
+            F.when(strict["_bad"].isNull(), strict["O"]).alias("number"),
         )
 
     def judged(a: Column) -> Column:
@@ -91,7 +92,10 @@ def parse_aspects(raw: Column) -> Column:
     def fields(js: Column) -> Column:
         # Parsed one by one: a value of the wrong type voids only itself.
         return F.struct(
-            *[F.from_json(js, f"{k} bigint", _STRICT)[k].try_cast("int").alias(k.lower()) for k in ("M", "T", "O")]
+            *[
+                F.when(obj["_bad"].isNull(), obj[k].try_cast("int")).alias(k.lower())
+                for k in ("M", "T", "O") for obj in [_with_bad(js, f"{k} bigint")]
+            ]
         )
 
     return once(_first_match(raw, SCORE_OBJECT), fields)
