@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jurybox import schemas
 from jurybox.functions.text import blank, strip, to_bigint
@@ -69,8 +70,15 @@ def peek(spark: SparkSession, glob: str, n: int = 50) -> DataFrame:
 
 def parse_logs(lines: DataFrame) -> DataFrame:
     """Typed log fields; the whole record stays reachable as VARIANT `fields`."""
-    record = F.when(~blank(F.col("value")), F.array(F.from_json("value", schemas.LOGS)))
-    return lines.select("value", F.inline(record)).withColumn("fields", F.try_parse_json("value")).drop("value")
+    record = F.when(~blank(F.col("value")), F.array(F.from_json("value", _raw_times(schemas.LOGS))))
+    typed = lines.select("value", F.inline(record)).withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
+    return typed.withColumn("fields", F.try_parse_json("value")).drop("value")
+
+
+def _raw_times(schema: T.StructType) -> T.StructType:
+    """Timestamps as text: a cast takes every ISO form, the JSON reader only some."""
+    text = T.StringType()
+    return T.StructType([T.StructField(f.name, text if f.dataType == T.TimestampType() else f.dataType) for f in schema])
 
 
 def read_logs(spark: SparkSession, glob: str | list[str]) -> DataFrame:
@@ -84,7 +92,7 @@ def read_manifests(
     root = base.rstrip("/")
     pattern = f"{root}/runs/{stage or '*'}/{run_id or '*'}/manifest.json"
     try:
-        files = spark.read.option("wholetext", True).text(pattern)
+        files = spark.read.text(pattern, wholetext=True)
     except Exception as error:  # the path pattern matches nothing
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -92,5 +100,5 @@ def read_manifests(
             raise FileNotFoundError(f"Manifest not found: {pattern}") from None
         files = spark.createDataFrame([], "value string")
     return files.select(
-        F.from_json("value", schemas.MANIFESTS).alias("_m"), F.try_parse_json("value").alias("manifest")
-    ).select("_m.*", "manifest")
+        F.from_json("value", _raw_times(schemas.MANIFESTS)).alias("_m"), F.try_parse_json("value").alias("manifest")
+    ).select("_m.*", "manifest").withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))

@@ -7,6 +7,7 @@ ones. All operators are those of the batch stage; none keeps state.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -35,7 +36,7 @@ def judge_new_samples(
     ready, _ = rq.attach_model(rq.fan_out(stream, models), registry)
     requests = rq.build_requests(render_prompt(ready, prompt_name, **(variables or {})))
     judged = rq.to_judgement(rq.judge(requests, completer_factory), prompt(prompt_name).response_parser or "parse_label")
-    name = out_path.rstrip("/").rsplit("/", 1)[-1]
+    name = hashlib.sha256(out_path.rstrip("/").encode()).hexdigest()[:24]  # one checkpoint per output
     return (
         judged.writeStream.format("parquet")
         .partitionBy("model_id")

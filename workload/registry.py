@@ -216,19 +216,18 @@ def build_requests(spark, sf):
     )
 
 
-def length_completer():
-    """Stands in for a model: the score is the prompt's length modulo 3."""
-
-    def complete(request):
-        n = len(request["messages"][0]["content"])
-        return {"raw_text": '{"O": %d}' % (n % 3), "latency_ms": float(n % 500), "version": request["model"] + "-v1"}
+@query
+def judge(spark, sf):
+    """Through the Python stage; a stand-in model scores the prompt's length modulo 3."""
 
-    return complete
+    def factory():  # local, so that it is sent by value and executors need not have this module
+        def complete(request):
+            n = len(request["messages"][0]["content"])
+            return {"raw_text": '{"O": %d}' % (n % 3), "latency_ms": float(n % 500), "version": request["model"] + "-v1"}
 
+        return complete
 
-@query
-def judge(spark, sf):
-    judged = requests.judge(_requests(spark, sf), length_completer)
+    judged = requests.judge(_requests(spark, sf), factory)
     return requests.to_judgement(judged).select("query_id", "docid", "model_id", "version", "label", "score", "latency_ms", "retries")
 
 
