@@ -20,7 +20,7 @@ from jurybox.operators import samples as sm
 from jurybox.operators import scores as sc
 from jurybox.operators import telemetry as tm
 from jurybox.operators.votes import STRATEGIES
-from jurybox.sources.parsers import ADAPTERS, check, resolve_dataset
+from jurybox.sources.parsers import ADAPTERS, check, resolve_dataset, split_marked
 from jurybox.sources.registry import MODELS, WEIGHTS, ModelSpec, models_df
 from jurybox.sources.sinks import (
     append_manifest, run_path, write_head, write_metrics, write_run_parquet,
@@ -45,10 +45,13 @@ def ingest(
     key = dataset.lower().strip()
     if key not in ADAPTERS:
         resolve_dataset(key)  # raises
-    parsed = ADAPTERS[key](spark, data_dir)
-    for _, rejects in parsed.values():
+    # The raw text is parsed once; what follows reads columns of the written tables.
+    parsed = {}
+    for name, marked in ADAPTERS[key](spark, data_dir).items():
+        path = write_run_parquet(marked, base, "ingest", run_id, f"parsed/{name}")
+        parsed[name], rejects = split_marked(spark.read.parquet(path), name)
         check(rejects, strict)
-    qrels, queries, documents = (parsed[t][0] for t in ("qrels", "queries", "documents"))
+    qrels, queries, documents = (parsed[t] for t in ("qrels", "queries", "documents"))
     samples = sm.build_samples(qrels, queries, documents)
     if limit is not None:
         samples = sm.limit_samples(samples, limit)

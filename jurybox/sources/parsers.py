@@ -1,8 +1,9 @@
 """Line parsers of the ingest stage.
 
-Each takes numbered lines (line_no, value) and returns (good, rejects) where
-rejects is (source, line_no, reason, raw). Nothing is dropped silently: a line
-is blank, good or rejected.
+`mark_*` takes numbered lines (line_no, value) and gives one row per line that
+is not blank: its fields, or the reason why it is rejected and the raw text.
+`parse_*` is the same split in two: (good, rejects). A job over large files
+writes the marked table once and splits what it wrote; see the ingest stage.
 """
 
 from __future__ import annotations
@@ -35,20 +36,29 @@ def parsed_lines(lines: DataFrame, keep: Column, **parts: Column) -> DataFrame:
     return lines.select("line_no", "value", F.inline(F.when(keep, F.array(row))))
 
 
-def divide(parsed: DataFrame, source: str, reason: Column, good: list[Column]) -> Parsed:
-    """Split rows on `reason`, which is null for a good row."""
-    rejects = parsed.where(reason.isNotNull()).select(
-        F.lit(source).alias("source"), "line_no", reason.alias("reason"), F.col("value").alias("raw")
+def mark(parsed: DataFrame, reason: Column, good: Sequence[Column]) -> DataFrame:
+    """(line_no, reason, raw, fields...): `reason` is null for a good row, `raw` else."""
+    return parsed.select(
+        "line_no",
+        reason.alias("reason"),
+        F.when(reason.isNotNull(), F.col("value")).alias("raw"),
+        *good,
     )
-    return parsed.where(reason.isNull()).select("line_no", *good), rejects
 
 
-def parse_queries(lines: DataFrame) -> Parsed:
+def split_marked(marked: DataFrame, source: str) -> Parsed:
+    """(good, rejects) of a marked table."""
+    good = marked.where(F.col("reason").isNull()).drop("reason", "raw")
+    rejects = marked.where(F.col("reason").isNotNull())
+    return good, rejects.select(F.lit(source).alias("source"), "line_no", "reason", "raw")
+
+
+def mark_queries(lines: DataFrame) -> DataFrame:
     """Tab-separated query_id and text, split at the first tab, both stripped."""
     parts = parsed_lines(lines, F.col("value") != "", _p=F.split("value", "\t", 2))
     reason = F.when(F.size("_p") != 2, F.lit("Invalid query line"))
     good = [strip(F.col("_p")[0]).alias("query_id"), strip(F.try_element_at("_p", F.lit(2))).alias("query_text")]
-    return divide(parts, "queries", reason, good)
+    return mark(parts, reason, good)
 
 
 def json_object(value: Column, fields: Sequence[str]) -> Column:
@@ -78,7 +88,7 @@ def is_text(*paths: str) -> Column:
     return F.expr(" AND ".join(f"coalesce(schema_of_variant({p}) = 'STRING', false)" for p in paths))
 
 
-def parse_documents(lines: DataFrame) -> Parsed:
+def mark_documents(lines: DataFrame) -> DataFrame:
     """One JSON object per line with string fields docid and doc."""
     value = F.col("value")
     parts = parsed_lines(lines, ~blank(value), _o=json_object(value, ["docid", "doc"]))
@@ -87,10 +97,10 @@ def parse_documents(lines: DataFrame) -> Parsed:
         ~is_text("_d.docid", "_d.doc"), F.lit("Missing docid/doc")
     )
     good = [variant_text("_d.docid").alias("docid"), variant_text("_d.doc").alias("doc")]
-    return divide(parts, "documents", reason, good)
+    return mark(parts, reason, good)
 
 
-def parse_qrels(lines: DataFrame) -> Parsed:
+def mark_qrels(lines: DataFrame) -> DataFrame:
     """query_id, relevance, docid, separated by whitespace; any integer relevance."""
     value = F.col("value")
     parts = parsed_lines(lines, ~blank(value), _p=split_words(value))
@@ -101,7 +111,19 @@ def parse_qrels(lines: DataFrame) -> Parsed:
         F.try_element_at("_p", F.lit(3)).alias("docid"),
         number.alias("relevance"),
     ]
-    return divide(parts, "qrels", reason, good)
+    return mark(parts, reason, good)
+
+
+def parse_queries(lines: DataFrame) -> Parsed:
+    return split_marked(mark_queries(lines), "queries")
+
+
+def parse_documents(lines: DataFrame) -> Parsed:
+    return split_marked(mark_documents(lines), "documents")
+
+
+def parse_qrels(lines: DataFrame) -> Parsed:
+    return split_marked(mark_qrels(lines), "qrels")
 
 
 def check(rejects: DataFrame, strict: bool = True) -> DataFrame:
@@ -120,21 +142,20 @@ def resolve_dataset(name: str) -> str:
     return DATASET
 
 
-def read_judge_dataset(spark: SparkSession, base: str) -> dict[str, Parsed]:
-    """The three files of the dataset directory, parsed."""
+def read_judge_dataset(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The three files of the dataset directory as marked tables."""
     root = base.rstrip("/")
     return {
-        "queries": parse_queries(read_lines(spark, f"{root}/{QUERY_FILE}")),
-        "documents": parse_documents(read_lines(spark, f"{root}/{DOCUMENT_FILE}")),
-        "qrels": parse_qrels(read_lines(spark, f"{root}/{QREL_FILE}")),
+        "queries": mark_queries(read_lines(spark, f"{root}/{QUERY_FILE}")),
+        "documents": mark_documents(read_lines(spark, f"{root}/{DOCUMENT_FILE}")),
+        "qrels": mark_qrels(read_lines(spark, f"{root}/{QREL_FILE}")),
     }
 
 
-# Dataset adapters by name: function (spark, directory) -> {table: (good, rejects)}.
-ADAPTERS: dict[str, Callable[[SparkSession, str], dict[str, Parsed]]] = {
-    name: read_judge_dataset for name in DATASET_NAMES
-}
+# Dataset adapters by name: function (spark, directory) -> {table: marked table}.
+Adapter = Callable[[SparkSession, str], dict[str, DataFrame]]
+ADAPTERS: dict[str, Adapter] = {name: read_judge_dataset for name in DATASET_NAMES}
 
 
-def register_adapter(name: str, reader: Callable[[SparkSession, str], dict[str, Parsed]]) -> None:
+def register_adapter(name: str, reader: Adapter) -> None:
     ADAPTERS[name] = reader

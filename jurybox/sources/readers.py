@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from jurybox import schemas
 from jurybox.functions.text import blank, strip, to_bigint
 from jurybox.sources.lines import read_lines
-from jurybox.sources.parsers import DATASET, Parsed, divide, is_text, json_object, parsed_lines, variant_text
+from jurybox.sources.parsers import DATASET, Parsed, is_text, json_object, mark, parsed_lines, split_marked, variant_text
 
 
 def parse_samples(lines: DataFrame) -> Parsed:
@@ -34,7 +34,7 @@ def parse_samples(lines: DataFrame) -> Parsed:
     ok = is_text(*[f"_s.{c}" for c in text]) & known & gold.isNotNull()
     reason = F.when(F.col("_s").isNull(), F.lit("Invalid JSON")).when(~ok, F.lit("Invalid sample"))
     good = [variant_text(f"_s.{c}").alias(c) for c in text]
-    return divide(parts, "samples", reason, [*good, gold.alias("gold_relevance")])
+    return split_marked(mark(parts, reason, [*good, gold.alias("gold_relevance")]), "samples")
 
 
 def read_samples(spark: SparkSession, path: str) -> Parsed:
