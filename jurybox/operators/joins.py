@@ -32,11 +32,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= int(conf.autoBroadcastJoinThreshold())
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def hot_keys(
+    df: DataFrame, on: Sequence[str], share: int | None = None, min_rows: int | None = None
+) -> DataFrame:
     """Keys with more than 1/share of the rows, with the number of parts to make.
 
     Counts are combined on the map side, so a hot key costs one row per task.
     """
+    share, min_rows = share or HOT_SHARE, HOT_MIN_ROWS if min_rows is None else min_rows
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     parts = F.least(F.lit(share), F.greatest(F.lit(2), F.ceil(F.col("_n") * share / total))).cast("int")
@@ -51,9 +54,10 @@ def lookup_join(
     on: str | Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
-    share: int = HOT_SHARE,
-    min_rows: int = HOT_MIN_ROWS,
+    share: int | None = None,
+    min_rows: int | None = None,
     salted: bool | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join `left` to `right`, whose key `on` is unique.
 
@@ -61,7 +65,8 @@ def lookup_join(
     by a hash of `spread_by` (default: all columns of `left`), a value of the
     row itself, so a task run again after a lost executor makes the same split.
     Rows equal in all `spread_by` columns stay together: give a column that is
-    unique per row, such as line_no.
+    unique per row, such as line_no. `hot` is the result of `hot_keys` where the
+    caller has it; any bounded set of keys keeps the result right.
     """
     on = [on] if isinstance(on, str) else list(on)
     if salted is None:
@@ -69,7 +74,7 @@ def lookup_join(
     if not salted:
         return left.join(right, on, how)
 
-    hot = F.broadcast(hot_keys(left, on, share, min_rows))
+    hot = F.broadcast(hot_keys(left, on, share, min_rows) if hot is None else hot)
 
     def with_parts(df: DataFrame) -> DataFrame:
         # Null-safe, because null keys of an outer join can be hot as well.

@@ -130,14 +130,22 @@ def judge(
     The completer takes the request as a dict and returns a dict with
     `raw_text` and optionally `version`, `retries`, `cost_estimate` and
     `latency_ms` (measured here if absent). An exception fails the task and
-    finally the job. A task run again repeats its calls: keep partitions small
-    and write the result before using it twice.
+    finally the job. A task run again repeats its calls: write the result before
+    using it twice.
+
+    Calls wait on the model, so the rows are spread evenly over `partitions`
+    tasks, whatever the partitioning of the joins before: by default four per
+    core; for long runs so many that a task is minutes, not hours; 0 leaves the
+    rows where they are.
     """
     kept = [c for c in requests.columns if c != "request"]
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema if f.name in kept
     )
-    if partitions is not None:
+    if partitions is None:
+        partitions = 4 * requests.sparkSession.sparkContext.defaultParallelism
+    if partitions:
+        # By the row's own values: a task run again gets the same rows.
         requests = requests.repartition(partitions, *[c for c in ("line_no", *PAIR, "model_id") if c in kept])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jurybox.functions.text import clean_text, label_name, sample_id, split_words, token_estimate
-from jurybox.operators.joins import fits_broadcast, last_wins, lookup_join
+from jurybox.operators.joins import fits_broadcast, hot_keys, last_wins, lookup_join
 from jurybox.operators.order import smallest
 from jurybox.sources.parsers import DATASET
 
@@ -28,8 +28,13 @@ def build_samples(
     if salted:
         winners = documents.groupBy("docid").agg(F.max("line_no").alias("_line"))
         by_line = documents.select(F.col("line_no").alias("_line"), "doc")
-        keyed = lookup_join(keyed, winners, "docid", spread_by=["line_no"], salted=True)
-        joined = lookup_join(keyed, by_line, "_line", spread_by=["line_no"], salted=True)
+        hot = hot_keys(qrels, ["docid"])
+        # Fewer than HOT_SHARE rows, like `hot` itself: the same documents by line.
+        hot_lines = winners.join(F.broadcast(hot), F.col("docid") == F.col("_hot_docid")).select(
+            F.col("_line").alias("_hot__line"), "_parts"
+        )
+        keyed = lookup_join(keyed, winners, "docid", spread_by=["line_no"], salted=True, hot=hot)
+        joined = lookup_join(keyed, by_line, "_line", spread_by=["line_no"], salted=True, hot=hot_lines)
     else:
         joined = lookup_join(keyed, last_wins(documents, "docid").select("docid", "doc"), "docid", salted=False)
     return joined.select(

@@ -216,3 +216,23 @@ def test_same_result_for_any_partitioning(spark, lines):
             want = want or got
             assert got == want
     assert len(want) > 100
+
+
+def test_hot_query_and_document(spark, monkeypatch):
+    """One query and one document hold a third of all qrels; their rows reach many tasks."""
+    monkeypatch.setattr(joins, "HOT_MIN_ROWS", 100)
+    n = F.col("line_no")
+    qrels = spark.range(1, 6001).select(F.col("id").alias("line_no")).select(
+        n,
+        F.when(n % 3 == 0, F.lit("q0")).otherwise(F.concat(F.lit("q"), (n % 700).cast("string"))).alias("query_id"),
+        F.when(n % 3 == 1, F.lit("d0")).otherwise(F.concat(F.lit("d"), (n % 900).cast("string"))).alias("docid"),
+        (n % 3).alias("relevance"),
+    )
+    keys = spark.range(1, 1201).select(F.col("id").alias("line_no"))
+    queries = keys.select(n, F.concat(F.lit("q"), (n % 600).cast("string")).alias("query_id"), F.concat(F.lit("text "), n).alias("query_text"))
+    documents = keys.select(n, F.concat(F.lit("d"), (n % 800).cast("string")).alias("docid"), F.concat(F.lit("doc "), n).alias("doc"))
+    plain = samples.build_samples(qrels, queries, documents, salted=False)
+    spread = samples.build_samples(qrels, queries, documents, salted=True)
+    assert plain.count() > 4000
+    assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
+    assert {r["_hot_docid"] for r in joins.hot_keys(qrels, ["docid"]).collect()} == {"d0"}
