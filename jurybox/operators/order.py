@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from jurybox.operators.joins import estimated_bytes, lookup_join
 
-# Below this size a single task may hold the column (exact `percentile`, one
-# sort); above it the counting form is used. Both give the same values.
+# Below this size a single task may hold the column (exact `percentile`), or the
+# rows of a limit with their texts; above it the counting form is used. Both give
+# the same result.
 ONE_TASK_BYTES = 64 * 1024 * 1024
-ONE_TASK_ROWS = 100_000
+ONE_TASK_ROWS = 1_000
 RANGES = 65_536
 
 

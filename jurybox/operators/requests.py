@@ -62,6 +62,7 @@ def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFr
     """One user message per row, with the settings `attach_model` put there."""
     message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))
     request = F.struct(
+        F.col("provider"),
         F.col("provider_model").alias("model"),
         F.array(message).alias("messages"),
         F.col("temperature"),
@@ -119,6 +120,25 @@ def answer_from_cache(hits: DataFrame, judged: DataFrame, salted: bool | None =
 Completion = dict[str, Any]
 Completer = Callable[[dict[str, Any]], Completion]
 
+def by_provider(factories: dict[str, Callable[[], Completer]]) -> Callable[[], Completer]:
+    """A completer factory that passes each request to its provider's completer."""
+
+    def factory() -> Completer:
+        completers: dict[str, Completer] = {}
+
+        def complete(request: dict[str, Any]) -> Completion:
+            name = request["provider"]
+            if name not in factories:
+                raise NotImplementedError(f"No completer given for provider {name}")
+            if name not in completers:
+                completers[name] = factories[name]()
+            return completers[name](request)
+
+        return complete
+
+    return factory
+
+
 _JUDGED = "raw_text string, version string, latency_ms double, retries int, cost_estimate double"
 
 

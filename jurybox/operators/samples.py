@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurybox.functions.text import clean_text, label_name, sample_id, split_words, token_estimate
@@ -27,14 +27,14 @@ def build_samples(
     keyed = lookup_join(qrels, texts, "query_id", spread_by=["line_no"])
     if salted:
         winners = documents.groupBy("docid").agg(F.max("line_no").alias("_line"))
-        by_line = documents.select(F.col("line_no").alias("_line"), "doc")
+        by_line = documents.select("docid", F.col("line_no").alias("_line"), "doc")
         hot = hot_keys(qrels, ["docid"])
         # Fewer than HOT_SHARE rows, like `hot` itself: the same documents by line.
         hot_lines = winners.join(F.broadcast(hot), F.col("docid") == F.col("_hot_docid")).select(
-            F.col("_line").alias("_hot__line"), "_parts"
+            "_hot_docid", F.col("_line").alias("_hot__line"), "_parts"
         )
         keyed = lookup_join(keyed, winners, "docid", spread_by=["line_no"], salted=True, hot=hot)
-        joined = lookup_join(keyed, by_line, "_line", spread_by=["line_no"], salted=True, hot=hot_lines)
+        joined = lookup_join(keyed, by_line, ["docid", "_line"], spread_by=["line_no"], salted=True, hot=hot_lines)
     else:
         joined = lookup_join(keyed, last_wins(documents, "docid").select("docid", "doc"), "docid", salted=False)
     return joined.select(
@@ -135,9 +135,10 @@ def chunk_documents(docs: DataFrame, words: int, overlap: int = 0) -> DataFrame:
     step = words - overlap
     split = docs.select("docid", split_words(F.col("doc")).alias("_w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("_w") - words) / step)).cast("int")
-    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return split.select("docid", "_w", F.explode(starts).alias("chunk_no")).select(
-        "docid",
-        "chunk_no",
-        F.array_join(F.slice("_w", F.col("chunk_no") * step + 1, F.lit(words)), " ").alias("chunk"),
-    )
+
+    def chunk(i: Column) -> Column:
+        return F.array_join(F.slice("_w", i * step + 1, F.lit(words)), " ")
+
+    # Chunks are cut before the rows multiply, so no row carries all the words.
+    chunks = F.when(F.size("_w") > 0, F.transform(F.sequence(F.lit(0), last), chunk))
+    return split.select("docid", F.posexplode(chunks).alias("chunk_no", "chunk"))

@@ -73,6 +73,21 @@ def test_judge_one_completer_per_partition(asked):
     assert all(r["latency_ms"] >= 0 and r["retries"] == 0 and r["warnings"] == [] for r in judged)
 
 
+def test_providers_by_name(asked):
+    def answering(label):
+        def factory():
+            return lambda request: {"raw_text": '{"O": %d}' % label}
+
+        return factory
+
+    given = {"openrouter": answering(1), "hf": answering(2)}
+    some = asked.where("model_id <> 'tinyllama'")
+    got = rq.to_judgement(rq.judge(some, rq.by_provider(given), partitions=2)).select("provider", "label").distinct()
+    assert sorted(tuple(r) for r in got.collect()) == [("hf", 2), ("openrouter", 1)]
+    with pytest.raises(Exception, match="No completer given for provider ollama"):
+        rq.judge(asked, rq.by_provider(given), partitions=2).collect()
+
+
 def test_failing_completer_fails_the_job(asked):
     def factory():
         def complete(request):

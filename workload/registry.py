@@ -87,6 +87,14 @@ def build_samples(spark, sf):
     return _samples(spark, sf)
 
 
+@query
+def parse_samples(spark, sf):
+    """The samples written as NDJSON lines and read back."""
+    s = _samples(spark, sf)
+    body = F.to_json(F.struct(*[c for c in s.columns if c != "line_no"]))
+    return readers.parse_samples(s.select("line_no", body.alias("value")))[0]
+
+
 @query
 def build_samples_spread(spark, sf):
     """The same through the form for large tables: hot keys spread, text fetched by line."""

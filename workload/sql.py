@@ -144,6 +144,7 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 'qrels', doc_id + 1, CASE (doc_id + 1) % 5 WHEN 1 THEN 'Invalid qrel line' WHEN 2 THEN 'Invalid relevance' END FROM labels)
       SELECT source, reason, count(*) AS n, min(n) AS first_line FROM x WHERE reason IS NOT NULL GROUP BY source, reason""",
     "build_samples": SAMPLES,
+    "parse_samples": SAMPLES,
     "build_samples_spread": SAMPLES,
     "limit_samples": f"WITH {S} SELECT * FROM s ORDER BY line_no LIMIT 25",
     "limit_examples": f"""WITH {S}, o AS (SELECT *, row_number() OVER (ORDER BY line_no DESC) AS rn FROM s)

@@ -118,7 +118,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("0000000").alias("git_sha"),
         F.when(error, "error").otherwise("info").alias("level"),
         F.lit("infer").alias("logger"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         F.col("value").alias("latency_ms"),
         F.col("event_type").alias("kind"),
     )
