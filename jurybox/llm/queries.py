@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import quality_rules
+from jurybox.llm import pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,13 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "row.doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         "base_failed", "kept",
     )
+
+
+@query
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "row.doc_id", *[pii.of_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listing(base).cast("binary"), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"),
+    )

@@ -8,16 +8,16 @@ _STOP = ", ".join(f"'{w}'" for w in qr.STOP_WORDS)
 
 OP6 = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-d AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+d AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(0, 5) AS g(k) GROUP BY r),
-m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-        len(list_filter(w, x -> lower(trim(x, '.,;:!?()"''')) IN ({_STOP}))) AS n_stop,
-        len(list_filter(w, x -> regexp_matches(x, '\p{{L}}'))) AS n_letters FROM d LEFT JOIN cov USING (r)),
+        len(list_filter(w, lambda x: lower(trim(x, '.,;:!?()"''')) IN ({_STOP}))) AS n_stop,
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letters FROM d LEFT JOIN cov USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.25
@@ -26,4 +26,46 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE: dict[str, str] = {"op6_quality_rules": OP6}
+# Patterns of op3 as the contract states them, by kind in order; the spans the method adds follow.
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_CODE = "replace(m[5:] || m[:4], ' ', '')"
+_PII_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS BIGINT), 256) > 255)) = 0",
+    "card": "length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda j: CASE WHEN j % 2 = 0 "
+            "THEN d[length(d) - j]::INT WHEN d[length(d) - j]::INT > 4 THEN 2 * d[length(d) - j]::INT - 9 "
+            "ELSE 2 * d[length(d) - j]::INT END)) % 10 = 0",
+    "phone": "length(d) BETWEEN 8 AND 15",
+    "iban": f"list_reduce(list_prepend(0::HUGEINT, list_transform(string_split({_CODE}, ''), lambda c: "
+            "(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1)::HUGEINT)), "
+            "lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1",
+    "ssn": "NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, '(?i)\\b(?:ssn|social|security|tax)\\b')",
+}
+_PII_SPANS = " UNION ALL ".join(
+    f"SELECT r, {n} AS k, '{kind}' AS kind, e - length(m) AS s, e FROM (SELECT r, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, "
+    f"list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS e, "
+    f"right(p[i], 40) || ' ' || left(p[i + 1], 40) AS near FROM (SELECT r, p, ms, unnest(ms) AS m, "
+    f"generate_subscripts(ms, 1) AS i FROM (SELECT r, regexp_split_to_array(text, '{rx}') AS p, "
+    f"regexp_extract_all(text, '{rx}') AS ms FROM t WHERE regexp_matches(text, '{rx}')))) WHERE {_PII_VALID[kind]}"
+    for n, (kind, rx) in enumerate(_PII.items())
+)
+OP3 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({_PII_SPANS}),
+g AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base,
+        count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+        count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op3_pii": OP3, "op6_quality_rules": OP6}
