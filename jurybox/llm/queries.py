@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import pii, quality_rules
+from jurybox.llm import decontaminate, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,13 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
         "row.doc_id", *[pii.of_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(pii.listing(base).cast("binary"), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_contaminated(docs, table(spark, sf, "benchmark"))
+    return marked.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
