@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import decontaminate, pii, quality_rules
+from jurybox.llm import decontaminate, packing, pii, quality_rules, token_files
+from jurybox.llm.common import scratch
+
+END_OF_TOKENS = 1
+END_OF_PACKED = 0
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +22,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the contract; it is installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -49,3 +60,17 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    packed = packing.pack(docs, vocabulary(), END_OF_PACKED)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf, "documents").select("doc_id", "text"), path, vocabulary(), END_OF_TOKENS)
+    return token_files.checksums(token_files.read_tokens(spark, path))
