@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import decontaminate, jaccard_join, packing, pii, quality_rules, token_files
+from jurybox.llm import decontaminate, html_text, jaccard_join, packing, pii, quality_rules, token_files
 from jurybox.llm.common import scratch
 
 END_OF_TOKENS = 1
@@ -79,3 +79,8 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), n=3, threshold=90)
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf, "pages"))
