@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import decontaminate, html_text, jaccard_join, packing, pii, quality_rules, token_files
+from jurybox.llm import decontaminate, html_text, jaccard_join, packing, pii, quality_rules, repeats, token_files
 from jurybox.llm.common import scratch
 
 END_OF_TOKENS = 1
@@ -84,3 +84,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf, "pages"))
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
