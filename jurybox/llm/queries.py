@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jurybox.llm import decontaminate, html_text, jaccard_join, packing, pii, quality_rules, repeats, token_files
+from jurybox.llm import (
+    decontaminate, html_text, jaccard_join, lm_score, packing, pii, quality_rules, repeats, token_files, warc_fixity,
+)
 from jurybox.llm.common import scratch
 
 END_OF_TOKENS = 1
@@ -90,3 +92,20 @@ def op1_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     left = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+FLIPS, LOSSES = 97, 211
+
+
+@query
+def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the archive of all pages that its decayed replica has lost or changed."""
+    files = warc_fixity.archive(table(spark, sf, "pages").select("page_id", "url", "html"))
+    found = warc_fixity.audit(warc_fixity.build_tree(files), warc_fixity.build_tree(warc_fixity.decay(files, FLIPS, LOSSES)))
+    return found.select(F.col("record_id").alias("page_id"), "status")
+
+
+@query
+def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lm_score.score(docs, *lm_score.fit(docs))

@@ -85,4 +85,10 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
-ORACLE: dict[str, str] = {"op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6}
+# The audit's answer follows from the rule by which the replica decayed.
+OP4 = """
+SELECT page_id, CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'corrupt' END AS status
+FROM pages WHERE page_id % 211 = 3 OR page_id % 97 = 5
+"""
+
+ORACLE: dict[str, str] = {"op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6}
