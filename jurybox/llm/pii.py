@@ -159,17 +159,17 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """`df` with each span of its text replaced by `[KIND]`; overlapping spans become one, under the first's kind.
+    """`df` with each span of its text replaced by `[KIND]`; overlapping spans become one, under the first's kind (the longest of those that begin there).
 
     Other columns stay as they are; null text stays null.
     """
     placed = find_spans(df, text, kinds).select("row", "text", F.sort_array(F.transform(
-        "spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
+        "spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("spans"))
+    empty = F.array().cast("array<struct<start:bigint,longest:bigint,end:bigint,kind:string>>")
 
     def join(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        longer = F.struct(last["start"].alias("start"), last["longest"].alias("longest"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
         return F.when((F.size(done) > 0) & (s["start"] < F.get(done, F.size(done) - 1)["end"]),
                       F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
