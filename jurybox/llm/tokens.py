@@ -94,13 +94,17 @@ def encoder(path: str) -> Encoder:
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES):
-    """Slices of a batch whose texts have about `limit` bytes together."""
+    """Parts of a batch whose texts have about `limit` bytes together.
+
+    Parts are copies: Arrow's lower-casing takes the offsets of a slice for those of its parent.
+    """
     sizes = np.nan_to_num(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False))
     groups = (np.cumsum(sizes) - sizes) // limit
     edges = [0, *(np.flatnonzero(np.diff(groups)) + 1), batch.num_rows]
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            part = batch.slice(a, b - a)
+            yield part if part.num_rows == batch.num_rows else part.take(pa.array(np.arange(part.num_rows)))
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
