@@ -23,6 +23,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 INLINE = frozenset((
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
     "sub sup time tt u var wbr").split())
+UNSEEN = frozenset("script style template link meta noscript".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption br hr".split())
 DROPPED = frozenset((
     "head script style noscript template iframe svg object embed canvas audio video nav header footer aside form button select "
@@ -105,7 +106,7 @@ def parse(page: str) -> tuple[list[str | None], list[str], list[Element]]:
         tag = (found["tag"] or found["tag2"] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN:
             texts.append(" " if tag == "br" else None)
         if found["end"] or found["end2"]:
             for i in range(len(stack) - 1, -1, -1):
@@ -178,12 +179,11 @@ def article_text(texts: list[str | None], elements: list[Element], gone: list[El
         keep[e.start:e.end] = bytes(e.end - e.start)
     blocks, now = [], []
     for part, kept in zip(texts, keep):
-        if part is None or not kept:
+        if part is None:
             blocks.append("".join(now))
             now = []
-            if part is None or not kept:
-                continue
-        now.append(part)
+        elif kept:
+            now.append(part)
     blocks.append("".join(now))
     return " ".join(t for b in blocks if (t := " ".join(b.split())))
 
