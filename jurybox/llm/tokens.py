@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_RUNS = 400_000  # about 200 bytes each
+MEMO_RUNS = 350_000  # about 200 bytes each, twice
 MEMO_CHARS = 64  # longer runs are encoded anew each time
 CHUNK_BYTES = 16 << 20  # text handled at once, except for a single longer text
 
@@ -34,54 +34,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.bounds = [0]
-        self.ids = np.empty(1 << 16, dtype=np.int32)
-
-    def _append(self, found: list[list[int]]) -> None:
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32)
-        end = self.bounds[-1]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (end + len(flat)))
-        self.ids[end:end + len(flat)] = flat
-        for ids in found:
-            end += len(ids)
-            self.bounds.append(end)
-
-    def _places(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length in `self.ids` of each run's ids."""
-        if len(self.memo) > MEMO_RUNS:
-            self.forget()
-        memo = self.memo
-        new = [r for r in runs if r not in memo]
-        long = []
+        self.lowers = '"type":"Lowercase"' in self.tokenizer.to_str(pretty=False)
+        self.special = tuple({t.content[:1] for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # Runs met lately and before; when `lately` is full it takes the place of `before`.
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _key(self, run: str) -> str:
+        """The same for runs that only differ by case, where the tokenizer drops it."""
+        if self.lowers and run.isascii() and not any(c in run for c in self.special):
+            return run.lower()
+        return run
+
+    def _ids(self, runs: list[str]) -> list[bytes]:
+        """Each run's ids as 32-bit integers."""
+        keys = [self._key(r) for r in runs]
+        lately, before = self.lately, self.before
+        for key in keys:
+            if key not in lately and (known := before.get(key)) is not None:
+                lately[key] = known
+        new = list({k for k in keys if k not in lately})
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
-            base = len(self.bounds) - 1
-            self._append([e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)])
-            for i, run in enumerate(part):
-                memo[run] = base + i
-                if len(run) > MEMO_CHARS:
-                    long.append(run)
-        which = np.fromiter((memo[r] for r in runs), dtype=np.int64, count=len(runs))
-        bounds = np.asarray(self.bounds, dtype=np.int64)
-        for run in long:
-            del memo[run]
-        return bounds[which], bounds[which + 1] - bounds[which]
+            for key, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                lately[key] = np.array(found.ids, dtype=np.int32).tobytes()
+        out = [lately[k] for k in keys]
+        for key in [k for k in new if len(k) > MEMO_CHARS]:
+            del lately[key]
+        if len(lately) > MEMO_RUNS:
+            self.lately, self.before = {}, lately
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the n + 1 bounds of each text's ids. Null texts have none."""
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        if isinstance(parts, pa.ChunkedArray):
-            parts = parts.combine_chunks()
         runs = parts.flatten().dictionary_encode()
-        starts, lengths = self._places(runs.dictionary.to_pylist())
-        codes = runs.indices.to_numpy(zero_copy_only=False)
-        lengths = lengths[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        ids = self.ids[spread(starts[codes] if len(codes) else lengths, lengths)]
+        found = self._ids(runs.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        store = np.frombuffer(b"".join(found), dtype=np.int32)
+        codes = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = sizes[codes]
+        ids = store[spread((np.cumsum(sizes) - sizes)[codes], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         places = parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         return ids, ends[places - places[0]]
