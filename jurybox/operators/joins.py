@@ -94,10 +94,11 @@ def lookup_join(
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str = "line_no") -> DataFrame:
     """Keep the row with the highest `order` per key.
 
-    An aggregate rather than a window: each task sends at most one row per key,
-    so a key that holds a third of all rows is no burden.
+    The highest order per key is an aggregate over two narrow columns, at most one row per
+    key and task; the wide rows are then picked by it and never sorted or grouped. `order`
+    is unique, as line numbers are.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys]
-    row = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    # Null keys are a key as well, so the order itself is what is looked up.
+    wins = df.groupBy(*keys).agg(F.max(order).alias(order)).select(order)
+    return df.join(wins, order, "left_semi").select(*df.columns)

@@ -127,9 +127,11 @@ def percentiles(
     joined = totals.join(found, "_g", "left")
 
     def point(k: str, p: float) -> Column:
-        share = F.col("_last") * p - F.floor(F.col("_last") * p)
+        # The same steps as Spark's `percentile`, so that both forms agree to the last bit.
+        place = F.col("_last") * F.lit(p)
         low, high = F.col(f"_l_{k}"), F.col(f"_h_{k}")
-        return (low + (high - low) * share).alias(k)
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when((F.ceil(place) == F.floor(place)) | (low == high), low).otherwise(between).alias(k)
 
     return joined.select(
         *[F.col(f"_g.{b}").alias(b) for b in by], *extra_names, *[point(k, p) for k, p in points.items()]

@@ -76,7 +76,7 @@ def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFr
         "model_id",
         "provider",
         "provider_model",
-        F.sha2("prompt", 256).alias("prompt_sha256"),
+        (F.col("prompt_sha256") if "prompt_sha256" in prompts.columns else F.sha2("prompt", 256)).alias("prompt_sha256"),
         request.alias("request"),
     )
 
@@ -84,13 +84,41 @@ def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFr
 CACHE_KEY = ["model_id", "prompt_sha256"]
 
 
+def answered(judged: DataFrame) -> DataFrame:
+    """The rows of an earlier judgements table that hold an answer; a table of keys alone lists answered ones."""
+    return judged if "raw_text" not in judged.columns else judged.where(F.col("raw_text").isNotNull())
+
+
+def hash_prompts(prompts: DataFrame) -> DataFrame:
+    """Add `prompt_sha256`. A prompt does not depend on the model, so hash before `fan_out`."""
+    return prompts.withColumn("prompt_sha256", F.sha2("prompt", 256))
+
+
+def split_panel(
+    prompts: DataFrame, judged: DataFrame, models: Sequence[ModelSpec], salted: bool | None = None, hot: DataFrame | None = None,
+) -> DataFrame:
+    """Add `cached` and `to_ask`: the panel's models that have answered the prompt, and the others.
+
+    One row per sample: a text crosses at most one exchange, by the prompt's hash, and is
+    repeated per model only after it, by an explode in the task that asks. The lookup side
+    has one row per answered prompt, of no more ids than the panel.
+    """
+    panel = F.array(*[F.lit(m.model_id) for m in check_panel(models)])
+    found = answered(judged).groupBy("prompt_sha256").agg(F.collect_set("model_id").alias("_answered"))
+    spread = [c for c in ("line_no", *PAIR) if c in prompts.columns]
+    marked = lookup_join(prompts, found, "prompt_sha256", "left", spread, salted=salted, hot=hot)
+    known = F.coalesce("_answered", F.array().cast("array<string>"))
+    return marked.withColumns({"cached": F.array_intersect(panel, known), "to_ask": F.array_except(panel, known)}).drop("_answered")
+
+
 def mark_cached(requests: DataFrame, judged: DataFrame, salted: bool | None = None) -> DataFrame:
     """Add `cache_hit`: whether the same model has answered the same prompt before.
 
     `judged` carries `prompt_sha256`. Only its distinct keys take part, so
-    neither repeated prompts nor repeated runs multiply rows.
+    neither repeated prompts nor repeated runs multiply rows. A stored row without
+    `raw_text` is no answer: its request is asked again.
     """
-    keys = judged.select(*CACHE_KEY).distinct().withColumn("cache_hit", F.lit(True))
+    keys = answered(judged).select(*CACHE_KEY).distinct().withColumn("cache_hit", F.lit(True))
     spread = [c for c in ("line_no", *PAIR) if c in requests.columns]
     marked = lookup_join(requests, keys, CACHE_KEY, "left", spread, salted=salted)
     return marked.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False)))
@@ -105,7 +133,8 @@ def cache_split(
 
 
 def answer_from_cache(hits: DataFrame, judged: DataFrame, salted: bool | None = None) -> DataFrame:
-    """Completions for the hits, from the latest stored answer to the prompt."""
+    """Completions for the hits, from the latest stored answer to the prompt, with what that answer took."""
+    judged = answered(judged)
     answers = ["raw_text", "version", "latency_ms", "retries", "cost_estimate"]
     order = [F.col("run_id")] if "run_id" in judged.columns else []
     latest = (
@@ -142,8 +171,13 @@ def by_provider(factories: dict[str, Callable[[], Completer]]) -> Callable[[], C
 _JUDGED = "raw_text string, version string, latency_ms double, retries int, cost_estimate double"
 
 
+# Rows of a task that asks, and calls it keeps waiting at once.
+ROWS_PER_TASK = 2_000
+CONCURRENT_CALLS = 8
+
+
 def judge(
-    requests: DataFrame, completer_factory: Callable[[], Completer], partitions: int | None = None
+    requests: DataFrame, completer_factory: Callable[[], Completer], partitions: int | None = None, concurrent: int = 1,
 ) -> DataFrame:
     """Ask the model for every request; one completer per partition.
 
@@ -155,8 +189,9 @@ def judge(
 
     Calls wait on the model, so the rows are spread evenly over `partitions`
     tasks, whatever the partitioning of the joins before: by default four per
-    core; for long runs so many that a task is minutes, not hours; 0 leaves the
-    rows where they are.
+    core; `judge_slices` chooses as many as ROWS_PER_TASK asks for; 0 leaves the
+    rows where they are. `concurrent` calls of a task wait at once (the completer
+    must then be safe in threads); rows keep their order.
     """
     kept = [c for c in requests.columns if c != "request"]
     schema = ", ".join(
@@ -170,21 +205,28 @@ def judge(
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
+        from concurrent.futures import ThreadPoolExecutor
 
         complete = completer_factory()
+
+        def one(request: Any) -> Completion:
+            begin = time.perf_counter()
+            answer = complete(request.asDict(True) if hasattr(request, "asDict") else request)
+            spent = (time.perf_counter() - begin) * 1000.0
+            return {
+                "raw_text": answer["raw_text"],
+                "version": answer.get("version"),
+                "latency_ms": answer.get("latency_ms", spent),
+                "retries": answer.get("retries", 0),
+                "cost_estimate": answer.get("cost_estimate"),
+            }
+
         for batch in batches:
-            rows = []
-            for request in batch["request"]:
-                begin = time.perf_counter()
-                answer = complete(request.asDict(True) if hasattr(request, "asDict") else request)
-                spent = (time.perf_counter() - begin) * 1000.0
-                rows.append({
-                    "raw_text": answer["raw_text"],
-                    "version": answer.get("version"),
-                    "latency_ms": answer.get("latency_ms", spent),
-                    "retries": answer.get("retries", 0),
-                    "cost_estimate": answer.get("cost_estimate"),
-                })
+            if concurrent > 1:
+                with ThreadPoolExecutor(concurrent) as pool:
+                    rows = list(pool.map(one, batch["request"]))
+            else:
+                rows = [one(request) for request in batch["request"]]
             answers = pd.DataFrame(
                 rows, columns=["raw_text", "version", "latency_ms", "retries", "cost_estimate"], index=batch.index
             )
@@ -193,6 +235,22 @@ def judge(
     return requests.mapInPandas(ask, f"{schema}, {_JUDGED}")
 
 
+def judge_slices(
+    requests: DataFrame, completer_factory: Callable[[], Completer], write: Callable[[DataFrame, int], DataFrame],
+    total: int, slices: int = 1, concurrent: int = CONCURRENT_CALLS,
+) -> list[DataFrame]:
+    """`judge` in slices, each written by `write(rows, number)` before the next is asked.
+
+    Requests are dealt by a hash of their own key. When a slice fails, those before it are
+    stored: a rerun with them as `judged` asks only what is missing. `total` is the number
+    of requests, known from their keys; it sets the number of tasks.
+    """
+    key = [c for c in ("line_no", *PAIR, "model_id") if c in requests.columns]
+    part = F.pmod(F.xxhash64(*key), F.lit(slices))
+    tasks = max(1, -(-total // (slices * ROWS_PER_TASK)), min(total, requests.sparkSession.sparkContext.defaultParallelism))
+    return [write(judge(requests.where(part == k), completer_factory, tasks, concurrent), k) for k in range(slices)]
+
+
 def judge_offline(requests: DataFrame, completions: DataFrame, salted: bool | None = None) -> DataFrame:
     """Completions from a table keyed by (query_id, docid, model_id), e.g. a batch answer.
 

@@ -125,13 +125,13 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
 
 
-def confidence_table(df: DataFrame, digits: int = 4) -> DataFrame:
-    """(confidence, n, accuracy) per confidence rounded to `digits`."""
+def confidence_table(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """(confidence, n, accuracy) per confidence; rounded to `digits` only if asked."""
     n = _n(df)
     correct = F.when(F.col("gold") == F.col("pred"), n).otherwise(0)
     return (
         df.where(F.col("confidence").isNotNull())
-        .groupBy(F.round("confidence", digits).alias("confidence"))
+        .groupBy((F.col("confidence") if digits is None else F.round("confidence", digits)).alias("confidence"))
         .agg(F.sum(n).cast("bigint").alias("n"), (F.sum(correct) / F.sum(n)).alias("accuracy"))
     )
 
@@ -140,11 +140,11 @@ def _features(table: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["confidence"], outputCol="features").transform(table)
 
 
-def fit_calibration(df: DataFrame, digits: int = 4) -> IsotonicRegressionModel:
+def fit_calibration(df: DataFrame, digits: int | None = None) -> IsotonicRegressionModel:
     """Isotonic regression of being right on confidence.
 
-    Rows of equal confidence are counted first: the fit is the same, and with
-    4 digits at most 10,001 points reach it however many judgements there are.
+    Rows of equal confidence are counted first: the fit is the same. `digits` rounds
+    confidences before: 4 digits leave at most 10,001 points, but move thresholds.
     """
     table = _features(confidence_table(df, digits))
     return IsotonicRegression(featuresCol="features", labelCol="accuracy", weightCol="n").fit(table)

@@ -43,7 +43,12 @@ def describe_latency(
 def cost_latency(
     judgements: DataFrame, by: Sequence[str] = ("model_id",), one_task: bool | None = None
 ) -> DataFrame:
-    """Rows, latency (mean, median, 95 %), retries and cost per group."""
+    """Rows, latency (mean, median, 95 %), retries and cost per group.
+
+    Answers that came from the cache were counted by the run that asked; they are left out.
+    """
+    if "cache_hit" in judgements.columns:
+        judgements = judgements.where(~F.coalesce("cache_hit", F.lit(False)))
     extra = [
         F.count(F.lit(1)).alias("n"),
         F.avg("latency_ms").alias("mean_latency_ms"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,9 @@ LABELS = (0, 1, 2)
 WEIGHT = "decimal(18,6)"
 
 # What a vote carries through the shuffle: no raw text.
-_VOTE_FIELDS = ["label", "score", "confidence", "latency_ms", "retries", "cost_estimate", "warnings"]
+_VOTE_FIELDS = [
+    "label", "score", "confidence", "latency_ms", "retries", "cost_estimate", "warnings", "provider", "version", "rationale",
+]
 
 
 def one_vote(judgements: DataFrame) -> DataFrame:
@@ -43,15 +46,17 @@ def attach_weight(
         table = weights.select("model_id", F.col("weight").cast(WEIGHT).alias("weight"))
         joined = lookup_join(judgements, table, "model_id", "left")
         return joined.withColumn("weight", F.coalesce("weight", default))
-    weight = default
-    for model_id, value in (weights or {}).items():
-        weight = F.when(F.col("model_id") == model_id, F.lit(value).cast(WEIGHT)).otherwise(weight)
-    return judgements.withColumn("weight", weight)
+    if not weights:
+        return judgements.withColumn("weight", default)
+    # One folded map, whatever the size of the panel.
+    table = F.from_json(F.lit(json.dumps({k: str(v) for k, v in weights.items()})), "map<string,string>")
+    return judgements.withColumn("weight", F.coalesce(F.try_element_at(table, F.col("model_id")).cast(WEIGHT), default))
 
 
 def _array_of_votes(votes: DataFrame) -> Column:
     # Bounded by the panel: one vote per model after `one_vote`.
-    fields = [c for c in ("model_id", "label", "weight", "confidence", "warnings") if c in votes.columns]
+    names = ("model_id", "label", "weight", "confidence", "warnings", "provider", "version", "score", "rationale")
+    fields = [c for c in names if c in votes.columns]
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
@@ -200,38 +205,27 @@ def disagreement_sets(judgements: DataFrame) -> DataFrame:
     return sets.where(F.col("n_distinct") > 1)
 
 
-def disagreement_pairs(judgements: DataFrame, models: Sequence[str]) -> DataFrame:
+def disagreement_pairs(judgements: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """Per pair of models: samples both labelled, and samples labelled differently.
 
-    The labels of a sample become one row with a column per model of the panel,
-    and every pair of columns is counted in one aggregate: rows are not paired.
+    Models are those of the judgements, and those of `models` beside them, with zeros where
+    they never meet. A sample's votes, one per model and so no more than the panel, pair up
+    within the sample, and pairs are counted with map-side aggregation.
     """
-    models = sorted(models)
-    votes = one_vote(judgements)
-    wide = votes.groupBy(*PAIR).agg(
-        *[F.max(F.when(F.col("model_id") == m, F.col("label"))).alias(f"_m{i}") for i, m in enumerate(models)]
-    )
-    pairs = [(i, j) for i in range(len(models)) for j in range(i + 1, len(models))]
-    if not pairs:
-        raise ValueError("at least two models are needed")
-    counted = wide.agg(
-        *[
-            F.struct(
-                F.count_if(F.col(f"_m{i}").isNotNull() & F.col(f"_m{j}").isNotNull()).alias("n_both"),
-                F.count_if(F.col(f"_m{i}") != F.col(f"_m{j}")).alias("n_different"),
-            ).alias(f"_p{i}_{j}")
-            for i, j in pairs
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(models[i]).alias("model_a"),
-                F.lit(models[j]).alias("model_b"),
-                F.col(f"_p{i}_{j}.n_both").alias("n_both"),
-                F.col(f"_p{i}_{j}.n_different").alias("n_different"),
-            )
-            for i, j in pairs
-        ]
-    )
-    return counted.select(F.inline(rows))
+    votes = one_vote(judgements).where(F.col("label").isNotNull())
+    listed = votes.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("model_id", "label"))).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda a, i: F.transform(
+        F.slice("v", i + 2, F.size("v")),
+        lambda b: F.struct(a["model_id"].alias("model_a"), b["model_id"].alias("model_b"),
+                           F.lit(1).alias("both"), (a["label"] != b["label"]).cast("int").alias("different")))))
+    met = listed.select(F.inline(pairs))
+    ids = judgements.select("model_id").where(F.col("model_id").isNotNull()).distinct()
+    if models is not None:
+        named = F.explode(F.array(*[F.lit(m) for m in models])).alias("model_id")
+        ids = ids.union(judgements.sparkSession.range(1).select(named)).distinct()
+    panel = ids.agg(F.sort_array(F.collect_set("model_id")).alias("m"))  # the panel
+    every = panel.select(F.inline(F.flatten(F.transform("m", lambda a, i: F.transform(
+        F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("model_a"), b.alias("model_b"),
+                                                             F.lit(0).alias("both"), F.lit(0).alias("different")))))))
+    return met.unionByName(every).groupBy("model_a", "model_b").agg(
+        F.sum("both").alias("n_both"), F.sum("different").alias("n_different"))

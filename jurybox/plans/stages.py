@@ -7,8 +7,10 @@ executor repeats only its own tasks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from inspect import Parameter, signature
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +75,7 @@ def infer(
     spark: SparkSession, samples: DataFrame, base: str, run_id: str, models: Sequence[ModelSpec] = MODELS,
     prompt_name: str = "thomas-et-al-prompt", variables: Mapping[str, Any] | None = None,
     completer_factory: Callable[[], rq.Completer] | None = None, completions: DataFrame | None = None,
-    judged: DataFrame | None = None, limit: int | None = None, partitions: int | None = None,
+    judged: DataFrame | None = None, limit: int | None = None, partitions: int | None = None, concurrent: int = 1,
     git: Mapping[str, Any] | None = None,
 ) -> RunResult:
     """Judge samples with a panel; `judgements.parquet` by model and the manifest.
@@ -86,17 +88,24 @@ def infer(
     if limit is not None:
         samples = sm.limit_examples(samples, limit)
     registry = rq.check_models(models_df(spark, models))
-    ready, _ = rq.attach_model(rq.fan_out(samples, models), registry)
-    requests = rq.build_requests(render_prompt(ready, prompt_name, **(variables or {})))
-
+    prompts = rq.hash_prompts(render_prompt(samples, prompt_name, **(variables or {})))
     answered = []
+    if judged is None:
+        asked = rq.fan_out(prompts, models)
+    else:
+        marked = rq.split_panel(prompts, judged, models)
+        asked = marked.withColumn("model_id", F.explode("to_ask")).drop("cached", "to_ask")
+        order = [c for c in ("line_no",) if c in prompts.columns]
+        hits = marked.select(*order, "query_id", "docid", "prompt_sha256", F.explode("cached").alias("model_id"))
+        hits = rq.attach_model(hits, registry)[0].drop("context_window", "temperature", "max_tokens")
+        answered.append(rq.answer_from_cache(hits.withColumn("cache_hit", F.lit(True)), judged))
+    requests = rq.build_requests(rq.attach_model(asked, registry)[0])
     if judged is not None:
-        hits, requests = rq.cache_split(requests, judged)
-        answered.append(rq.answer_from_cache(hits, judged))
+        requests = requests.withColumn("cache_hit", F.lit(False))
     if completions is not None:
         answered.append(rq.judge_offline(requests, completions))
     else:
-        answered.append(rq.judge(requests, completer_factory, partitions))
+        answered.append(rq.judge(requests, completer_factory, partitions, concurrent))
     raw = answered[0]
     for more in answered[1:]:
         raw = raw.unionByName(more, allowMissingColumns=True)
@@ -110,6 +119,7 @@ def infer(
         "rejected_count": rejected.agg(F.count(F.lit(1))).scalar(),
         "prompt_template": F.lit(prompt_name),
         "models": F.array(*[F.lit(m.model_id) for m in models]),
+        "model_config": F.lit(json.dumps([asdict(m) for m in models], sort_keys=True)),
         "output_file": F.lit(path),
     })
     manifest = append_manifest(
@@ -119,6 +129,13 @@ def infer(
     return RunResult(run_id, path, manifest, good)
 
 
+def _taken(strategy: Callable[..., DataFrame], **offered: Any) -> dict[str, Any]:
+    """What a registered strategy takes of what the stage has to offer; weights only if it names them."""
+    known = signature(strategy).parameters
+    open_ended = any(p.kind == Parameter.VAR_KEYWORD for p in known.values())
+    return {k: v for k, v in offered.items() if k in known or open_ended and k != "weights"}
+
+
 def aggregate(
     spark: SparkSession, judgements: DataFrame, base: str, run_id: str, strategy: str = "weighted_majority",
     weights: Mapping[str, float] | DataFrame | None = WEIGHTS, samples: DataFrame | None = None,
@@ -127,9 +144,7 @@ def aggregate(
     """Combine the panel's judgements; `ensemble.parquet` and the manifest."""
     if strategy not in STRATEGIES:
         raise KeyError(f"Unknown strategy: {strategy}. Known: {', '.join(sorted(STRATEGIES))}")
-    if strategy != "majority":
-        options["weights"] = weights
-    ensemble = STRATEGIES[strategy](judgements, samples=samples, **options)
+    ensemble = STRATEGIES[strategy](judgements, **_taken(STRATEGIES[strategy], weights=weights, samples=samples), **options)
     path = write_run_parquet(ensemble, base, "aggregate", run_id, "ensemble")
     written = spark.read.parquet(path)
     summary = written.agg(

@@ -25,7 +25,12 @@ SAMPLES = _table(
 JUDGEMENTS = _table(
     model_id=STRING, provider=STRING, version=STRING, query_id=STRING, docid=STRING, label=INT,
     score=DOUBLE, confidence=DOUBLE, rationale=STRING, raw_text=STRING, latency_ms=DOUBLE, retries=INT,
-    cost_estimate=DOUBLE, warnings=T.ArrayType(STRING), cache_hit=BOOLEAN,
+    cost_estimate=DOUBLE, warnings=T.ArrayType(STRING), cache_hit=BOOLEAN, run_id=STRING, prompt_sha256=STRING,
+    line_no=BIGINT,
+)
+
+SPLITS = _table(
+    sample_id=STRING, query=STRING, candidate=STRING, references=T.ArrayType(STRING), gold_label=STRING, metadata=TEXT_MAP,
 )
 
 # Fields every log record carries, plus the event fields the reports read.

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jurybox import schemas
 from jurybox.functions.text import blank, strip, to_bigint
 from jurybox.sources.lines import read_lines
-from jurybox.sources.parsers import DATASET, Parsed, is_text, json_object, mark, parsed_lines, split_marked, variant_text
+from jurybox.sources.parsers import (
+    DATASET, Parsed, check, is_text, json_object, mark, parsed_lines, split_marked, variant_text,
+)
 
 
 def parse_samples(lines: DataFrame) -> Parsed:
@@ -41,25 +43,61 @@ def read_samples(spark: SparkSession, path: str) -> Parsed:
     return parse_samples(read_lines(spark, path))
 
 
+def _parse_records(lines: DataFrame, schema: T.StructType, required: Sequence[str], source: str, reason: str) -> Parsed:
+    """NDJSON lines to rows of `schema`: (good, rejects). A line is rejected if it is no single JSON
+    object, or if a required field is missing or not of its type."""
+    value = F.col("value")
+    parts = parsed_lines(lines, ~blank(value), _v=F.try_parse_json(value), _r=F.from_json(value, schema))
+    is_object = F.coalesce(F.expr("schema_of_variant(_v)").startswith("OBJECT"), F.lit(False))
+    missing = F.lit(False)
+    for name in required:
+        missing = missing | F.col(f"_r.{name}").isNull()
+    why = F.when(~is_object, F.lit("Invalid JSON")).when(missing, F.lit(reason))
+    # The file's own line_no gives way to a field of that name.
+    fields = [F.col(f"_r.{f.name}").alias(f.name if f.name != "line_no" else "_line_no") for f in schema]
+    good, rejects = split_marked(mark(parts, why, fields), source)
+    if "line_no" in schema.names:
+        good = good.drop("line_no").withColumnRenamed("_line_no", "line_no")
+    return good, rejects
+
+
+def parse_judgements(lines: DataFrame) -> Parsed:
+    """Judgements as `write_judgements` writes them, with run_id, prompt_sha256 and line_no where given."""
+    return _parse_records(lines, schemas.JUDGEMENTS, ["model_id", "query_id", "docid"], "judgements", "Invalid judgement")
+
+
+def parse_splits(
+    lines: DataFrame, split: str | None = None, name: str | None = None, version: str | None = None,
+    schema: T.StructType = schemas.SPLITS, required: Sequence[str] = ("sample_id", "query"),
+) -> Parsed:
+    """Canonical samples of one split, with references and metadata, and the split's and dataset's name."""
+    good, rejects = _parse_records(lines, schema, required, "splits", "Invalid sample")
+    named = {"split": split, "dataset": name, "version": version}
+    return good.drop("line_no").withColumns({k: F.lit(v).cast("string") for k, v in named.items()}), rejects
+
+
 def read_dataset_splits(
     spark: SparkSession, splits: Mapping[str, str], name: str | None = None, version: str | None = None,
-    schema: str = "sample_id string, query string, candidate string, gold_label string",
+    schema: T.StructType = schemas.SPLITS, strict: bool = True,
 ) -> DataFrame:
-    """JSONL per split, with the split's name and the dataset's name and version."""
-    parts = [
-        spark.read.schema(schema).json(path).withColumn("split", F.lit(split)) for split, path in splits.items()
-    ]
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return out.withColumns({"dataset": F.lit(name).cast("string"), "version": F.lit(version).cast("string")})
+    """JSONL per split. A bad line raises; with `strict=False` it is left out, see `parse_splits` for the rejects."""
+    parts = []
+    for split, path in splits.items():
+        good, rejects = parse_splits(read_lines(spark, path), split, name, version, schema)
+        check(rejects, strict)
+        parts.append(good)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_judgements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Judgements of several models: Parquet, or NDJSON by file ending."""
+def read_judgements(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> DataFrame:
+    """Judgements of several models: Parquet, or NDJSON by file ending. A bad line raises unless `strict=False`."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     json_paths = [p for p in paths if p.endswith((".ndjson", ".jsonl", ".json"))]
     parts = [spark.read.parquet(p) for p in paths if p not in json_paths]
-    if json_paths:
-        parts.append(spark.read.schema(schemas.JUDGEMENTS).json(json_paths))
+    for path in json_paths:
+        good, rejects = parse_judgements(read_lines(spark, path))
+        check(rejects, strict)
+        parts.append(good)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -68,13 +106,26 @@ def peek(spark: SparkSession, glob: str, n: int = 50) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(glob).limit(n)
 
 
+def _is_record() -> Column:
+    """Whether the line in `value` is one JSON object."""
+    return F.coalesce(F.expr("schema_of_variant(try_parse_json(value))").startswith("OBJECT"), F.lit(False))
+
+
 def parse_logs(lines: DataFrame) -> DataFrame:
-    """Typed log fields; the whole record stays reachable as VARIANT `fields`."""
-    record = F.when(~blank(F.col("value")), F.array(F.from_json("value", _raw_times(schemas.LOGS))))
+    """Typed log fields of the valid records; the whole record stays reachable as VARIANT `fields`."""
+    keep = ~blank(F.col("value")) & _is_record()
+    record = F.when(keep, F.array(F.from_json("value", _raw_times(schemas.LOGS))))
     typed = lines.select("value", F.inline(record)).withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
     return typed.withColumn("fields", F.try_parse_json("value")).drop("value")
 
 
+def reject_logs(lines: DataFrame) -> DataFrame:
+    """The lines `parse_logs` leaves out, in the form of the other parsers' rejects."""
+    bad = lines.where(~blank(F.col("value")) & ~_is_record())
+    number = F.col("line_no") if "line_no" in lines.columns else F.lit(None)
+    return bad.select(F.lit("logs").alias("source"), number.cast("bigint").alias("line_no"), F.lit("Invalid JSON").alias("reason"), F.col("value").alias("raw"))
+
+
 def _raw_times(schema: T.StructType) -> T.StructType:
     """Timestamps as text: a cast takes every ISO form, the JSON reader only some."""
     text = T.StringType()

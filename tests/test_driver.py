@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from workload.registry import QUERIES
+from workload.sql import ORACLE
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,13 +33,13 @@ def table(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = queries()[name](spark, SF)
-    result = db.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = db.execute(ORACLE[name])
     want = table([c[0] for c in result.description], result.fetchall())
     assert table(df.columns, df.collect()) == want
 

@@ -145,3 +145,76 @@ def test_validation_ranges(spark):
     assert dict(bad.select("model_id", "reason").collect()) == {
         "label": "Invalid label", "score": "Invalid score", "conf": "Invalid confidence",
     }
+
+
+@pytest.mark.parametrize("salted", [None, True])
+def test_unanswered_rows_are_no_hits(asked, salted):
+    stored = asked.select("model_id", "prompt_sha256", F.when(F.col("model_id") == "tinyllama", '{"O": 1}').alias("raw_text"),
+                          F.lit("v").alias("version"), F.lit(1.0).alias("latency_ms"), F.lit(0).alias("retries"),
+                          F.lit(0.1).alias("cost_estimate"), F.lit("r1").alias("run_id"))
+    hits, misses = rq.cache_split(asked, stored, salted)
+    assert {r["model_id"] for r in hits.collect()} == {"tinyllama"} and misses.where("model_id = 'tinyllama'").count() == 0
+    later = stored.withColumns({"raw_text": F.lit(None).cast("string"), "run_id": F.lit("r2")})
+    again = rq.answer_from_cache(hits, stored.unionByName(later), salted).collect()
+    assert len(again) == hits.count() and {r["raw_text"] for r in again} == {'{"O": 1}'}
+
+
+def test_panel_split_moves_text_once(spark):
+    rows = [(i, f"q{i % 3}", f"d{i}", f"prompt {i % 4} " * 20) for i in range(12)]
+    prompts = rq.hash_prompts(spark.createDataFrame(rows, "line_no bigint, query_id string, docid string, prompt string"))
+    models = list(registry.MODELS)[:3]
+    judged = prompts.where("line_no < 2").select("prompt_sha256", F.lit(models[0].model_id).alias("model_id"), F.lit("x").alias("raw_text"))
+    split = rq.split_panel(prompts, judged, models, salted=True).orderBy("line_no").collect()
+    for r in split:
+        known = [models[0].model_id] if r["line_no"] % 4 < 2 else []
+        assert r["cached"] == known and r["to_ask"] == [m.model_id for m in models if m.model_id not in known]
+    asked = rq.split_panel(prompts, judged, models, salted=True).select("line_no", "prompt", F.explode("to_ask").alias("model_id"))
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan.splitlines()[0] or "Generate" in plan.splitlines()[1]  # models come after the join
+
+
+def test_slices_before_a_failure_are_kept(asked, tmp_path, spark):
+    total = asked.count()
+    written = []
+
+    def factory():
+        def complete(request):
+            if len(written) and "q3" in request["messages"][0]["content"]:
+                raise TimeoutError("late")
+            return {"raw_text": '{"O": 1}', "latency_ms": 1.0}
+
+        return complete
+
+    def write(df, k):
+        path = f"{tmp_path}/slice{len(written)}"
+        df.write.parquet(path)
+        written.append(path)
+        return spark.read.parquet(path)
+
+    parts = rq.judge_slices(asked, factory, write, total, slices=2, concurrent=3)
+    assert sum(p.count() for p in parts) == total and len(written) == 2
+
+    def failing():
+        def complete(request):
+            raise TimeoutError("late")
+
+        return complete
+
+    with pytest.raises(Exception, match="late"):
+        rq.judge_slices(asked, failing, write, total, slices=2)
+    stored = spark.read.parquet(written[0])
+    assert rq.cache_split(asked, stored)[1].count() == total - stored.count()
+
+
+def test_concurrent_calls_keep_order(asked):
+    def factory():
+        import time
+
+        def complete(request):
+            time.sleep(0.01 * (len(request["model"]) % 3))
+            return {"raw_text": request["model"], "latency_ms": 1.0}
+
+        return complete
+
+    rows = rq.judge(asked, factory, partitions=1, concurrent=4).collect()
+    assert len(rows) == asked.count() and all(r["raw_text"] == r["provider_model"] for r in rows)

@@ -129,3 +129,16 @@ def test_strategies(spark):
     votes.register_strategy("first", lambda j, **_: j.select("query_id").limit(1))
     assert votes.STRATEGIES["first"](judged(spark, [("q", "d", "a", 1)])).count() == 1
     del votes.STRATEGIES["first"]
+
+
+def test_large_panels(spark):
+    """A thousand weights plan, and a hundred models are paired without a column per pair."""
+    rows = [(f"q{i % 3}", f"d{i}", f"m{m:03}", (i + m) % 3) for i in range(12) for m in range(100)]
+    df = spark.createDataFrame(rows, "query_id string, docid string, model_id string, label int")
+    weighted = votes.attach_weight(df, {f"m{m:03}": m + 0.5 for m in range(1000)})
+    assert {float(r["weight"]) for r in weighted.where("model_id = 'm007'").collect()} == {7.5}
+    pairs = votes.disagreement_pairs(df).collect()
+    assert len(pairs) == 100 * 99 // 2
+    for r in pairs:
+        same = (int(r["model_a"][1:]) - int(r["model_b"][1:])) % 3 == 0
+        assert (r["n_both"], r["n_different"]) == (12, 0 if same else 12)

@@ -258,6 +258,67 @@ def cache_split(spark, sf):
     return requests.mark_cached(asked, judged).select("query_id", "docid", "model_id", "cache_hit")
 
 
+@query
+def cache_split_unanswered(spark, sf):
+    """The panel split per sample, by the prompt's hash alone; stored rows without an answer are asked again."""
+    rendered = requests.hash_prompts(prompts.render_prompt(_samples(spark, sf)))
+    asked = requests.fan_out(rendered.select("line_no", "prompt_sha256"), t.PANEL_MODELS)
+    gold = t.qrels(spark, sf).select("line_no", "relevance")
+    answer = F.when((F.col("relevance") > 0) & (F.col("model_id") != "phi3-mini"), '{"O": 1}')
+    judged = asked.join(gold, "line_no").withColumn("raw_text", answer)
+    split = requests.split_panel(rendered, judged, t.PANEL_MODELS)
+    names = [F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ",")).alias(c) for c in ("cached", "to_ask")]
+    return split.select("query_id", "docid", *names)
+
+
+def _broken(df, body):
+    """NDJSON lines of a table, every 13th cut short and every 17th without its first field."""
+    n = F.col("line_no") % 221
+    first = body[0]
+    whole, part = F.to_json(F.struct(*body)), F.to_json(F.struct(*[c for c in body if c != first]))
+    text = F.when(n % 13 == 0, F.left(whole, F.length(whole) - 1)).when(n % 17 == 0, part).otherwise(whole)
+    return df.select("line_no", text.alias("value"))
+
+
+def _both(good, rejects, *columns):
+    """Good rows and rejected line numbers in one table."""
+    kept = good.select(*columns, F.lit(None).cast("bigint").alias("rejected"), F.lit(None).cast("string").alias("reason"))
+    lost = rejects.select(*[F.lit(None).cast(good.schema[c].dataType).alias(c) for c in columns], F.col("line_no").alias("rejected"), "reason")
+    return kept.unionByName(lost)
+
+
+@query
+def parse_judgements(spark, sf):
+    """Judgements through NDJSON with planted bad lines: nothing of a row's identity is lost."""
+    rows = t.completions(spark, sf).select(
+        "model_id", F.col("doc_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("docid"), "raw_text",
+        F.lit("run_1").alias("run_id"), F.sha2(F.col("doc_id").cast("string"), 256).alias("prompt_sha256"),
+        (F.col("doc_id") + 1).alias("line_no"))
+    good, bad = readers.parse_judgements(_broken(rows, ["model_id", "query_id", "docid", "raw_text", "run_id", "prompt_sha256", "line_no"]))
+    return _both(good, bad, "model_id", "docid", "raw_text", "run_id", "prompt_sha256", "line_no")
+
+
+@query
+def parse_splits(spark, sf):
+    """Canonical samples with references and metadata, with planted bad lines."""
+    rows = t.table(spark, sf, "documents").select(
+        (F.col("doc_id") + 1).alias("line_no"), F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("query"),
+        F.col("source").alias("candidate"), F.array("lang", "source").alias("references"),
+        F.create_map(F.lit("n"), F.col("n_chars").cast("string")).alias("metadata"))
+    good, bad = readers.parse_splits(_broken(rows, ["sample_id", "query", "candidate", "references", "metadata"]), "train", "ch", "1")
+    good = good.withColumns({"refs": joined("references"), "n": F.element_at("metadata", "n")})
+    return _both(good, bad, "sample_id", "query", "candidate", "refs", "n", "split", "dataset", "version")
+
+
+@query
+def reject_logs(spark, sf):
+    """Log lines, every tenth cut short: what the parser keeps and what it rejects."""
+    lines = t.log_lines(spark, sf, "event_id").withColumnRenamed("event_id", "line_no")
+    cut = lines.select("line_no", F.when(F.col("line_no") % 10 == 0, F.left("value", F.length("value") - 1)).otherwise(F.col("value")).alias("value"))
+    kept = readers.parse_logs(cut).agg(F.count("*").alias("n")).withColumn("reason", F.lit(None).cast("string"))
+    return kept.unionByName(readers.reject_logs(cut).groupBy("reason").agg(F.count("*").alias("n")))
+
+
 @query
 def parse_label(spark, sf):
     c = t.completions(spark, sf).withColumn("p", answers.parse_label(F.col("raw_text")))
@@ -392,7 +453,7 @@ def disagreement_sets(spark, sf):
 
 @query
 def disagreement_pairs(spark, sf):
-    return votes.disagreement_pairs(t.judgements(spark, sf), list(t.PANEL))
+    return votes.disagreement_pairs(t.judgements(spark, sf))
 
 
 # ---- evaluate -----------------------------------------------------------------
@@ -466,7 +527,8 @@ def expected_calibration_error(spark, sf):
 
 @query
 def fit_calibration(spark, sf):
-    rows = _confident(spark, sf)
+    # Confidences of many digits: none may be rounded before the fit.
+    rows = _confident(spark, sf).withColumn("confidence", F.col("confidence") / 3.0)
     fitted = scores.calibrate(scores.fit_calibration(rows), scores.confidence_table(rows))
     return fitted.select("confidence", "n", r6("calibrated").alias("calibrated"))
 

@@ -250,7 +250,7 @@ ORACLE: dict[str, str] = {
     "calibration_bins": f"WITH {BINS} SELECT bin, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM b",
     "expected_calibration_error": f"WITH {BINS} SELECT round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece FROM b",
     # Isotonic fit by its max-min formula over the counted confidences.
-    "fit_calibration": f"""WITH {CONFIDENT}, pt AS (SELECT round(confidence, 4) AS c, count(*) AS n, sum(correct) AS s FROM cf GROUP BY 1),
+    "fit_calibration": f"""WITH {CONFIDENT}, pt AS (SELECT confidence / 3.0 AS c, count(*) AS n, sum(correct) AS s FROM cf GROUP BY 1),
       o AS (SELECT c, n, s, row_number() OVER (ORDER BY c) AS i, sum(n) OVER (ORDER BY c) AS cn, sum(s) OVER (ORDER BY c) AS cs FROM pt),
       lowest AS (SELECT a.i AS i, b.i AS f, min((z.cs - b.cs + b.s) / (z.cn - b.cn + b.n)) AS v
         FROM o a JOIN o b ON b.i <= a.i JOIN o z ON z.i >= a.i GROUP BY 1, 2)
@@ -268,6 +268,23 @@ ORACLE: dict[str, str] = {
       count(*) - count(label) AS errors, round(sum(cost_estimate), 6) AS cost FROM j GROUP BY run_id, model_id""",
     "run_id": """SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(event_type || 'v' || user_id, 1, 30) AS run_id FROM events""",
     "list_runs": """SELECT DISTINCT strftime(ts, '%Y%m%d_%H%M%S') || '_panel' AS run_id FROM events WHERE event_type = 'click'""",
+    "parse_judgements": f"""WITH {J}, c AS (SELECT model_id, CAST(doc_id AS VARCHAR) AS docid, raw_text, 'run_1' AS run_id,
+        sha256(CAST(doc_id AS VARCHAR)) AS prompt_sha256, doc_id + 1 AS line_no FROM j),
+      m AS (SELECT *, CASE WHEN line_no % 221 % 13 = 0 THEN 'Invalid JSON' WHEN line_no % 221 % 17 = 0 THEN 'Invalid judgement' END AS reason FROM c)
+      SELECT model_id, docid, raw_text, run_id, prompt_sha256, line_no, NULL::BIGINT AS rejected, NULL::VARCHAR AS reason FROM m WHERE reason IS NULL
+      UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, line_no, reason FROM m WHERE reason IS NOT NULL""",
+    "parse_splits": """WITH m AS (SELECT *, doc_id + 1 AS l, CASE WHEN (doc_id + 1) % 221 % 13 = 0 THEN 'Invalid JSON'
+        WHEN (doc_id + 1) % 221 % 17 = 0 THEN 'Invalid sample' END AS reason FROM documents)
+      SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang AS query, source AS candidate, lang || ',' || source AS refs, CAST(n_chars AS VARCHAR) AS n,
+        'train' AS split, 'ch' AS dataset, '1' AS version, NULL::BIGINT AS rejected, NULL::VARCHAR AS reason FROM m WHERE reason IS NULL
+      UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, l, reason FROM m WHERE reason IS NOT NULL""",
+    "reject_logs": """SELECT count(*) FILTER (event_id % 10 <> 0) AS n, NULL::VARCHAR AS reason FROM events
+      UNION ALL SELECT count(*), 'Invalid JSON' FROM events WHERE event_id % 10 = 0 GROUP BY 2""",
+    "cache_split_unanswered": f"""WITH {REQ}, known AS (SELECT DISTINCT model_id, prompt FROM rq WHERE gold_relevance > 0 AND model_id <> 'phi3-mini')
+      SELECT query_id, docid, string_agg(model_id, ',' ORDER BY model_id) FILTER (hit) AS cached,
+        string_agg(model_id, ',' ORDER BY model_id) FILTER (NOT hit) AS to_ask
+      FROM (SELECT line_no, query_id, docid, model_id, EXISTS (SELECT 1 FROM known k WHERE k.model_id = rq.model_id AND k.prompt = rq.prompt) AS hit FROM rq)
+      GROUP BY line_no, query_id, docid""",
     "dataset_checksum": "SELECT count(*) AS n_rows, true AS same FROM documents",
     "peek": "SELECT least(count(*), 50) AS n FROM documents",
 }

@@ -109,7 +109,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return qrels(spark, sf).withColumnRenamed("relevance", "gold_relevance")
 
 
-def log_lines(spark: SparkSession, sf: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     error = F.col("event_type") == "error"
     record = F.struct(
         F.when(error, "inference_failed").otherwise("inference_success").alias("event"),
@@ -122,7 +122,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("value").alias("latency_ms"),
         F.col("event_type").alias("kind"),
     )
-    return table(spark, sf, "events").select(F.to_json(record).alias("value"))
+    return table(spark, sf, "events").select(*keep, F.to_json(record).alias("value"))
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
