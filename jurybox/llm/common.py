@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,6 +33,17 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory of numpy and Arrow to the system: idle Python workers then hold little of it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a glibc system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_key(text: str | Column) -> Column:
     """A fingerprint that, beside the id, tells documents with the same id apart; null text counts as empty."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurybox.llm.common import settle
+from jurybox.llm.common import give_back, settle
 from jurybox.llm.tokens import chunks, encoder, with_end
 
 CAPACITY = 2048
@@ -123,6 +123,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
                     piece.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length),
                     blob, pa.array(crc), pa.array(np.full(len(doc), part, dtype=np.int32)), pa.array(rank),
                 ], names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "rank"])
+        give_back()
 
     return run
 

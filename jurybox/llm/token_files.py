@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jurybox.llm.common import give_back
 from jurybox.llm.tokens import chunks, encoder, with_end
 
 ROW_GROUP_BYTES = 32 << 20
@@ -37,6 +38,7 @@ def _encode(tokenizer: str, end_id: int):
                     pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
                 ], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 before += int(bounds[-1])
+        give_back()
 
     return run
 

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_RUNS = 350_000  # about 200 bytes each, twice
+MEMO_RUNS = 300_000  # about 200 bytes each, twice
 MEMO_CHARS = 64  # longer runs are encoded anew each time
-CHUNK_BYTES = 16 << 20  # text handled at once, except for a single longer text
+CHUNK_BYTES = 8 << 20  # text handled at once, except for a single longer text
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
