@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurybox.llm.common import settle
+from jurybox.llm.common import give_back, settle
 from jurybox.llm.components import components
 from jurybox.llm.tokens import chunks, spread
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_SHINGLES = 3_000_000  # shingles a frequency group holds, on average
 HEAVY_PART = 200  # shingles in over 1/200 of the documents are spread by class, not by hash
 MAX_LEVEL = 4
@@ -108,6 +108,7 @@ def _sets(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds))],
                     names=["doc_id", "k1", "k2", "n"])
+        give_back()
 
     return run
 
@@ -121,6 +122,7 @@ def _heavy_candidates(n: int):
                 often = counts * HEAVY_PART * 2 >= max(part.num_rows, 4 * HEAVY_PART)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[often].astype(np.int64)), pa.array(counts[often])], names=["h", "c"])
+        give_back()
 
     return run
 
@@ -177,6 +179,7 @@ def _requests(n: int, buckets: int, heavy):
                     kinds = [pa.int32(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "k1", "k2", "n", "at", "h"])
+        give_back()
 
     return run
 
@@ -185,28 +188,36 @@ def _frequencies(slots: int, buckets: int, heavy_size):
     """Group of one bucket: frequency of each shingle over classes; repeated ones go back by class."""
     def run(group: pa.Table) -> pa.Table:
         k1, k2, n, at, h, base = [], [], [], [], [], 0
-        for row in group.to_pylist():
+        bucket = group.column("bucket")[0].as_py()
+        for i in range(group.num_rows):
+            row = {c: group.column(c)[i].as_py() for c in ("k1", "k2", "n", "at", "h")}
             a = np.frombuffer(row["k1"], dtype=np.int64)
             k1.append(a)
             k2.append(np.frombuffer(row["k2"], dtype=np.int64))
             n.append(np.frombuffer(row["n"], dtype=np.int32))
             v = _unpack(row["h"])
-            at.append(np.frombuffer(row["at"], dtype=np.uint16 if 2 * len(v) == len(row["at"]) else np.uint32).astype(np.int64) + base)
+            at.append(np.frombuffer(row["at"], dtype=np.uint16 if 2 * len(v) == len(row["at"]) else np.uint32).astype(np.int32) + np.int32(base))
             h.append(v)
             base += len(a)
-        k1, k2, n, at, h = map(np.concatenate, (k1, k2, n, at, h))
+        del group
+        k1, k2, n = map(np.concatenate, (k1, k2, n))
+        at = np.concatenate(at)
+        h = np.concatenate(h)
         _, first, same = np.unique(np.stack([k1, k2]), axis=1, return_index=True, return_inverse=True)
-        owner = same.reshape(-1)[at]
-        if group.column("bucket")[0].as_py() >= buckets:
+        owner = same.reshape(-1).astype(np.int32)[at]
+        del at
+        # a class whose copies lie in several chunks asks several times
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        del order
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
+        if bucket >= buckets:
             known, counts = heavy_size.value
             df = counts[np.searchsorted(known, h)]
             keep = np.ones(len(h), dtype=bool)
         else:
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, owner = h[new], owner[new]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             df = np.repeat(np.diff(np.append(start, len(h))), np.diff(np.append(start, len(h))))
             keep = df > 1
@@ -225,6 +236,7 @@ def _frequencies(slots: int, buckets: int, heavy_size):
                          "size": _blob(size.astype(np.int32)), "h": _blob(h[a:b]),
                          "df": _blob(np.minimum(df[a:b], 2**32 - 1).astype(np.uint32))})
         kinds = pa.schema([("slot", pa.int32()), *[(c, pa.binary()) for c in ("k1", "k2", "n", "size", "h", "df")]])
+        give_back()
         return pa.Table.from_pylist(rows, schema=kinds)
 
     return run
@@ -279,6 +291,7 @@ def _assemble(threshold: int):
             m = int(n[first[c]])
             rows.append({"key": keys[:, c].astype(">i8").tobytes(), "n": m, "level": choose_level(m, b - a, df[a:b], threshold),
                          "h": h[a:b].tobytes()})
+        give_back()
         return pa.Table.from_pylist(rows, schema=pa.schema(
             [("key", pa.binary()), ("n", pa.int32()), ("level", pa.int32()), ("h", pa.binary())]))
 

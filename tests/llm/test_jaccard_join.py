@@ -105,3 +105,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_copies_in_many_tasks(documents):
+    """Copies of frequent classes asked for by several tasks count once."""
+    texts = (variants(1, 120, 5, 2) + variants(4, 120, 4, 9)) * 6
+    rows = list(enumerate(texts))
+    assert found(documents(rows).repartition(5), 3, 90) == brute(rows, 3, 90)
+    assert found(documents(rows).repartition(5), 3, 70) == brute(rows, 3, 70)
