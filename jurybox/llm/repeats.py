@@ -5,8 +5,8 @@
    windows have equal anchors at equal places, so only windows whose anchor occurs twice can
    repeat. Tasks send anchors as blobs by hash range; repeated ones go back to their documents.
 3. The text around each repeated anchor (the windows it owns) goes to the anchor's group.
-   There the suffixes at window starts are sorted by prefix doubling; equal 100-byte prefixes
-   are intervals of the suffix array. Intervals whose occurrences all follow the same byte are
+   There the suffixes at window starts are sorted; equal 100-byte prefixes are intervals of the
+   suffix array. Intervals whose occurrences all follow the same byte are
    part of a longer repeat further left and are left out. A stack scan of the common prefix
    lengths of the others gives the interval tree: maximal repeats with all their occurrences.
 4. All occurrences but the first (least document, then least start) are removed.
@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jurybox.llm.common import settle, text_key
+from jurybox.llm.common import give_back, settle, text_key
 from jurybox.llm.tokens import chunks, spread
 
 LENGTH = 100
 K = 32
-CHUNK_BYTES = 8 << 20
-BUCKET_ANCHORS = 3_000_000
-BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_ANCHORS = 1_000_000
+BUCKET_BYTES = 2 << 20  # context bytes of a group, on average
 HOT = 50_000
 
 
@@ -135,6 +135,7 @@ def _anchor_blobs(buckets: int, length: int):
                     kinds = [pa.int32(), *[pa.binary()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                                      names=["bucket", "key", "at", "place", "h"])
+        give_back()
 
     return run
 
@@ -144,14 +145,17 @@ def _repeated(group: pa.Table) -> pa.Table:
     from jurybox.llm.jaccard_join import _unpack
 
     keys, place, h = [], [], []
-    for row in group.to_pylist():
+    for i in range(group.num_rows):
+        row = {c: group.column(c)[i].as_py() for c in ("key", "at", "place", "h")}
         key = np.frombuffer(row["key"], dtype=np.int64)
         keys.append(key[np.frombuffer(row["at"], dtype=np.uint32)])
         place.append(np.frombuffer(row["place"], dtype=np.uint32))
         h.append(_unpack(row["h"]))
+    del group
     keys, place, h = map(np.concatenate, (keys, place, h))
     order = np.lexsort((place, keys, h))
     keys, place, h = keys[order], place[order], h[order]
+    del order
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])
     keys, place, h = keys[new], place[new], h[new]
@@ -165,6 +169,7 @@ def _repeated(group: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     ends = np.append(edges[1:], len(keys)) if len(edges) else edges
     hot = (times > HOT).astype(np.uint8)
+    give_back()
     return pa.table({
         "key": pa.array(keys[edges]),
         "place": pa.array([place[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()),
@@ -203,63 +208,63 @@ def _contexts(length: int):
                     pa.array(h.view(np.int64)), part.column("doc_id").take(take), part.column("key").take(take),
                     pa.array(lo - bounds[doc]), pa.array((hi - lo + 1).astype(np.int32)), pa.array(hot[found].astype(bool) if len(found) else np.zeros(0, dtype=bool)), context,
                 ], names=["anchor", "doc_id", "key", "at", "own", "hot", "context"])
+        give_back()
 
     return run
 
 
+def _window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` bytes from each place on: widths double, the last step overlaps."""
+    mul = 0x9E3779B97F4A7C15
+    table = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h, width = table[data], 1
+    while width < length:
+        step = min(width, length - width)
+        h = h[:-step] * np.uint64(pow(mul, step, 1 << 64) | 1) + (h[step:] ^ (h[step:] >> np.uint64(31)))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        width += step
+    return h
+
+
 def suffix_intervals(data: np.ndarray, bounds: np.ndarray, own: np.ndarray, length: int):
-    """Suffix array of the window starts of contexts, cut to intervals that repeat and can be left-maximal.
+    """Sparse suffix array of the window starts of contexts that repeat and can be left-maximal, with its common prefixes.
 
     Returns, in suffix order: context and place in it of each suffix, the byte before it (-1 at
-    a context's begin), the length of the common prefix with the suffix before (0 between
-    intervals), never beyond either context.
+    a context's begin), the length of the common prefix with the suffix before (0 under
+    `length`), never beyond either context.
+
+    Hashes of windows only sort out those that occur once or always after the same byte; the
+    order and the common prefixes come from the bytes.
     """
     size = np.diff(bounds)
-    total = len(data)
     padded = np.concatenate([data, np.zeros(length + 8, dtype=np.uint8)])
-    rank = np.zeros(total, dtype=np.uint64)
-    for i in range(8):
-        rank = (rank << np.uint64(8)) | padded[i:i + total]
-    width = 8
-    while width < length:  # prefix doubling; the last step overlaps
-        step = min(width, length - width)
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        dense = np.empty(total, dtype=np.uint64)
-        dense[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64)
-        second = np.zeros(total, dtype=np.uint64)
-        second[:total - step] = dense[step:]
-        rank = dense * np.uint64(total + 1) + second
-        width += step
+    hashes = _window_hashes(padded, length)
     owner = np.repeat(np.arange(len(own)), own)
     at = spread(np.zeros(len(own), dtype=np.int64), own)
     place = bounds[:-1][owner] + at
-    value = rank[place]
-    order = np.argsort(value, kind="stable")
-    value, owner, at, place = value[order], owner[order], at[order], place[order]
-    before = np.where(at > 0, padded[np.maximum(place - 1, 0)].astype(np.int16), np.int16(-1))
+    value = hashes[place]
+    order = np.argsort(value)
+    value, place = value[order], place[order]
+    before = np.where(at[order] > 0, padded[np.maximum(place - 1, 0)].astype(np.int16), np.int16(-1))
     start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     count = np.diff(np.append(start, len(value)))
     lo, hi = np.minimum.reduceat(before, start), np.maximum.reduceat(before, start)
     use = np.repeat((count > 1) & ((lo != hi) | (lo < 0)), count)
-    value, owner, at, place, before = value[use], owner[use], at[use], place[use], before[use]
-    # order within an interval by what follows the common prefix
-    left = size[owner] - at - length
-    tail = int(left.max()) if len(left) else 0
-    columns = -(-max(tail, 1) // 8)
-    rest = np.zeros((len(owner), 8 * columns), dtype=np.uint8)
+    owner, at, place, before = owner[order[use]], at[order[use]], place[use], before[use]
+    left = size[owner] - at  # bytes of the suffix within its context
+    columns = -(-int(left.max() if len(left) else 1) // 8)
     grid = np.arange(8 * columns)
-    inside = grid[None, :] < left[:, None]
-    rest[inside] = padded[np.minimum((place + length)[:, None] + grid[None, :], len(padded) - 1)][inside]
-    packed = rest.view(">u8")
-    order = np.lexsort((left, *(packed[:, c] for c in range(columns - 1, -1, -1)), value))
-    value, owner, at, before, rest, left = value[order], owner[order], at[order], before[order], rest[order], left[order]
-    lcp = np.zeros(len(value), dtype=np.int64)
-    if len(value) > 1:
-        differs = rest[1:] != rest[:-1]
-        same = np.where(differs.any(axis=1), differs.argmax(axis=1), rest.shape[1])
+    text = padded[np.minimum(place[:, None] + grid[None, :], len(padded) - 1)]
+    text[grid[None, :] >= left[:, None]] = 0
+    packed = text.view(">u8")
+    order = np.lexsort((left, *(packed[:, c] for c in range(columns - 1, -1, -1))))
+    owner, at, before, text, left = owner[order], at[order], before[order], text[order], left[order]
+    lcp = np.zeros(len(owner), dtype=np.int64)
+    if len(owner) > 1:
+        differs = text[1:] != text[:-1]
+        same = np.where(differs.any(axis=1), differs.argmax(axis=1), text.shape[1])
         same = np.minimum(same, np.minimum(left[1:], left[:-1]))
-        lcp[1:] = np.where(value[1:] == value[:-1], length + same, 0)
+        lcp[1:] = np.where(same >= length, same, 0)
     return owner, at, before, lcp
 
 
@@ -388,8 +393,10 @@ def _prepare(docs: DataFrame, doc_id: str, text: str, length: int) -> tuple[Data
     wanted = heads.select("doc_id", "key").join(places, "key")
     cut = rows.join(wanted, ["doc_id", "key"])
     contexts = cut.select("doc_id", "key", "text", "places", "hots").mapInArrow(_contexts(length), CONTEXT)
-    groups = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    return rows, facts, settle(contexts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int")), "contexts")
+    contexts = settle(contexts, "contexts")
+    size = contexts.agg(F.sum(F.length("context"))).first()[0] or 0
+    groups = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return rows, facts, contexts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int"))
 
 
 def repeat_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
