@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurybox.llm import (
-    decontaminate, html_text, jaccard_join, lm_score, packing, pii, quality_rules, repeats, token_files, warc_fixity,
+    conversation_repair, decontaminate, html_text, jaccard_join, lm_score, packing, pii, quality_rules, repeats, token_files,
+    warc_fixity,
 )
-from jurybox.llm.common import scratch
+from jurybox.llm.common import scratch, settle
 
 END_OF_TOKENS = 1
 END_OF_PACKED = 0
@@ -109,3 +110,18 @@ def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lm_score.score(docs, *lm_score.fit(docs))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every original conversation; one that lost all its rows has no fault and nothing to repair."""
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.damage(talks)
+    found = settle(conversation_repair.diagnose(rows), "audits")
+    hashes = conversation_repair.repaired_digests(rows, found)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = talks.select("conv_id").unionByName(found, True).unionByName(hashes, True).groupBy("conv_id")
+    return every.agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )

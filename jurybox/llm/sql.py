@@ -91,4 +91,56 @@ SELECT page_id, CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'corrupt' END AS
 FROM pages WHERE page_id % 211 = 3 OR page_id % 97 = 5
 """
 
-ORACLE: dict[str, str] = {"op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6}
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))"
+    bit = "xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    fold = f"list_reduce(list_prepend(4294967295, {steps}::BIGINT[]), lambda a, x: CASE WHEN x >= 256 THEN xor(a, x - 256) ELSE {bit} END)"
+    return f"xor({fold}, 4294967295)"
+
+
+# States of the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a. `ins` are inserts before the next row.
+OP12 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_replace(text, '[ 	-]+$', '') AS body FROM dam),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1
+    THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, role[1] AS ini,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM num),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+ins(s, t, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+    (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+    (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+dp(conv_id, i, s, best) AS (
+    SELECT conv_id, 0::BIGINT, t, {{'cost': cost, 'audit': audit, 'lines': lines}} FROM f, ins WHERE s = 0
+    UNION ALL
+    SELECT conv_id, i, t, min(best) FROM (
+      SELECT m.conv_id, m.i, ins.t, {{'cost': m.cost + ins.cost, 'audit': m.audit || ins.audit, 'lines': list_concat(m.lines, ins.lines)}} AS best
+      FROM (SELECT d.conv_id, r.i, op.t, d.best.cost + op.cost + CASE WHEN r.fault = 'truncated' AND op.e <> 'D' THEN 5 ELSE 0 END AS cost,
+          d.best.audit || op.e AS audit, CASE op.e WHEN 'D' THEN d.best.lines WHEN 'K' THEN list_append(d.best.lines, r.role || ':' || r.text)
+          ELSE list_append(d.best.lines, CASE op.t WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text) END AS lines
+        FROM dp AS d JOIN r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1 JOIN (VALUES
+          (0, 'D', '', 0, 2), (1, 'D', '', 1, 2), (2, 'D', '', 2, 2), (3, 'D', '', 3, 2), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0),
+          (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (0, 'R', '', 2, 1), (1, 'R', '', 2, 1), (3, 'R', '', 2, 1),
+          (2, 'R', '', 3, 1)) AS op(s, e, ini, t, cost)
+        ON op.s = d.s AND (op.e = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (op.e <> 'K' OR op.ini = r.ini)) AS m
+      JOIN ins ON ins.s = m.t) GROUP BY conv_id, i, t),
+done AS (SELECT f.conv_id, min(best) AS best FROM f JOIN dp ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND dp.i = f.n
+    WHERE s IN (0, 3) GROUP BY f.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+  LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6, "op12_conversation_repair": OP12,
+}
