@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurybox.llm import (
-    conversation_repair, decontaminate, html_text, jaccard_join, lm_score, packing, pii, quality_rules, repeats, token_files,
+    conversation_repair, decontaminate, html_text, jaccard_join, licenses, lm_score, packing, pii, quality_rules, repeats, token_files,
     warc_fixity,
 )
 from jurybox.llm.common import scratch, settle
@@ -125,3 +125,22 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
         F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op13_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Score: that of the surest place, 0 without one."""
+    found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p["base"])
+
+    def listed(places: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    def start_of(pick: Callable[[Column], Column]) -> Column:
+        return pick(F.transform(base, lambda p: p["start"]))
+
+    return found.select(
+        "row.doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), start_of(F.array_min).alias("first_word"),
+        start_of(F.array_max).alias("last_word"), listed(base).alias("base_labels"), listed(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
+    )

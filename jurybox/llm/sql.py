@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from jurybox.llm import licenses
 from jurybox.llm import quality_rules as qr
 
 _STOP = ", ".join(f"'{w}'" for w in qr.STOP_WORDS)
@@ -107,7 +108,8 @@ dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role
     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
     unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE kind <> 0),
 num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    regexp_replace(text, '[ 	-]+$', '') AS body FROM dam),
+    regexp_replace(text, '[ 	-
+]+$', '') AS body FROM dam),
 r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1
     THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, role[1] AS ini,
     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM num),
@@ -141,6 +143,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN f ON f.conv_id
 """
 
 
+def _license_pattern(markup: str) -> str:
+    """A template as a pattern over words, each with a space before it."""
+    out = []
+    for mark, low, high in licenses.parse(markup):
+        out.append({"[[": "(?:", "]]": ")?"}.get(mark) or (f" {mark}" if mark else f"(?: [^ ]+){{{low},{high}}}"))
+    return "".join(out) + " "
+
+
+_LICENSED = [(t, f"regexp_matches(s, '{_license_pattern(t.markup)}')") for t in (*licenses.BASE, *licenses.TEMPLATES)]
+_PLACES = " UNION ALL ".join(
+    f"SELECT r, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(t.markup.split())}] = {t.markup.split()!r})) AS pos, "
+    f"'{t.label}' AS label FROM d WHERE {test}" for t, test in _LICENSED[:len(licenses.BASE)])
+OP13 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT r, doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM ({_PLACES}) GROUP BY r),
+m AS (SELECT r, [{", ".join(f"CASE WHEN {test} THEN '{t.label}' END" for t, test in _LICENSED)}] AS labels,
+  greatest(0.0::DOUBLE, {", ".join(f"CASE WHEN {test} THEN {licenses.score_of(t)!r}::DOUBLE END" for t, test in _LICENSED)}) AS score FROM d)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(labels)), ',') AS labels, score
+FROM d JOIN m USING (r) LEFT JOIN b USING (r)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6, "op12_conversation_repair": OP12,
+    "op13_license_scans": OP13,
 }
