@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jurybox.llm import (
-    conversation_repair, decontaminate, html_text, jaccard_join, licenses, lm_score, packing, pii, quality_rules, repeats, token_files,
-    warc_fixity,
+    conversation_repair, decontaminate, html_text, jaccard_join, licenses, lm_score, packing, pii, prefix_trie, quality_rules, repeats,
+    token_files, warc_fixity,
 )
 from jurybox.llm.common import scratch, settle
 
@@ -144,3 +144,8 @@ def op13_license_scans(spark: SparkSession, sf: str) -> DataFrame:
         start_of(F.array_max).alias("last_word"), listed(base).alias("base_labels"), listed(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))

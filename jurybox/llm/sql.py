@@ -100,6 +100,28 @@ def _crc32(text: str) -> str:
     return f"xor({fold}, 4294967295)"
 
 
+OP11 = f"""
+WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS b,
+    md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'g': g, 'b': b}} ORDER BY turn NULLS FIRST, g) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, {_crc32("conv_id::VARCHAR")} % 9 AS h, conv_id - (conv_id % 5 + 5) % 5 AS base FROM own),
+c AS (SELECT h.conv_id, list_concat(coalesce(own.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own ON own.conv_id = h.base),
+p AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM c),
+k AS (SELECT conv_id, depth, len(l) = depth AS ended, coalesce(l[depth].b, 0) AS b,
+    array_to_string(list_transform(l[1:depth], lambda x: x.g), '') AS key,
+    list_transform(range(0, depth + 1), lambda d: array_to_string(list_transform(l[1:d], lambda x: x.g), '')) AS upper FROM p),
+n AS (SELECT key, any_value(depth) AS depth, any_value(upper) AS upper, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(b) AS own, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+    FROM k GROUP BY key),
+kids AS (SELECT upper[-2] AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+up AS (SELECT unnest(upper) AS key, own, coalesce(n_children, 0) = 0 AS leaf FROM n LEFT JOIN kids USING (key)),
+below AS (SELECT key, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM up GROUP BY key)
+SELECT n.conv_id, n.depth, above.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+  n.ends_sha256
+FROM n JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN n AS above ON n.depth > 0 AND above.key = n.upper[-2]
+"""
+
+
 # States of the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a. `ins` are inserts before the next row.
 OP12 = rf"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
@@ -169,6 +191,6 @@ FROM d JOIN m USING (r) LEFT JOIN b USING (r)
 
 
 ORACLE: dict[str, str] = {
-    "op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6, "op12_conversation_repair": OP12,
+    "op4_warc_fixity": OP4, "op10_decontaminate": OP10, "op3_pii": OP3, "op6_quality_rules": OP6, "op11_conversation_prefix_trie": OP11, "op12_conversation_repair": OP12,
     "op13_license_scans": OP13,
 }
