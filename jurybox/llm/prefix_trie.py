@@ -404,7 +404,7 @@ def rebuild(conversations: DataFrame) -> DataFrame:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, conv_id) to one row per key: its least member, their number, the digest of their list."""
+    """Lists of ids in order, by key, to one row per key: its least member, their number, the digest of their list."""
     key, state, least, n = None, hashlib.sha256(), 0, 0
     out: list[tuple] = []
 
@@ -416,16 +416,16 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return done
 
     for rows in batches:
-        for k, c in zip(rows.column("key").to_pylist(), rows.column("conv_id").to_pylist()):
+        for k, c, more, listed in zip(*[rows.column(c).to_pylist() for c in ("key", "conv_id", "n", "listed")]):
             if k == key:
-                n += 1
-                state.update(b",%d" % c)
+                n += more
+                state.update(b"," + listed.encode())
                 continue
             if key is not None:
                 out.append((key, least, n, state.digest()))
                 if len(out) == 10_000:
                     yield batch()
-            key, state, least, n = k, hashlib.sha256(b"%d" % c), c, 1
+            key, state, least, n = k, hashlib.sha256(listed.encode()), c, more
     if key is not None:
         out.append((key, least, n, state.digest()))
     yield batch()
@@ -438,12 +438,16 @@ def prefix_trie(conversations: DataFrame, shard_nodes: int = SHARD_NODES, fan: i
     ends_sha256. The pair (conv_id, depth) names a node. Null roles and texts count as empty; rows
     without conv_id belong to no conversation; repeated rows are turns of their own; an empty table
     has no node. A conversation takes 24 bytes per turn in the task that reads it. Copies of a
-    conversation meet only as (key, id) pairs, read in order and never held. `shard_nodes` and `fan`
+    conversation meet only as texts of up to 4096 ids, read in order and never held. `shard_nodes` and `fan`
     bound what a task holds; they do not change the result.
     """
     spark = conversations.sparkSession
     whole = settle(rebuild(conversations), "rebuilt")
-    members = whole.select("key", "conv_id").repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(
+    # Ids of a run of 4096 become one text first, so that many copies meet as few rows.
+    runs = whole.groupBy("key", F.shiftright("conv_id", 12).alias("run")).agg(
+        F.min("conv_id").alias("conv_id"), F.count("conv_id").alias("n"),
+        F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("listed"))
+    members = runs.repartition("key").sortWithinPartitions("key", "run").drop("run").mapInArrow(
         _members, "key binary, conv_id bigint, n bigint, ends binary")
     paths = whole.groupBy("key").agg(F.first("path").alias("path"), F.first("sizes").alias("sizes"))
     sequences = paths.join(members, "key").drop("key")
