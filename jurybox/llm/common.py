@@ -16,11 +16,13 @@ SPACE = r"\x20\x09-\x0D"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder the cluster names.
 
-    `spark.checkpoint.dir` is read from the session. Only where it is unset, as in
-    tests on one machine, is a temporary folder taken and put there.
+    `spark.checkpoint.dir` is read from the session. Only where it is unset and Spark runs on
+    one machine, as in tests, is a temporary folder taken and put there; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="jurybox-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +35,11 @@ def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def evaluated(df: DataFrame) -> DataFrame:
+    """The same rows out of a generator: a filter on a computed column is not pushed below it and computed again."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def give_back() -> None:
     """Return freed memory of numpy and Arrow to the system: idle Python workers then hold little of it."""
     import ctypes

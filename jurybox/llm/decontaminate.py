@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jurybox.llm.common import text_key
+from jurybox.llm.common import evaluated, text_key
 
 K = 5
 WINDOW = 10
@@ -136,5 +136,6 @@ def mark_contaminated(
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that share no window with the benchmark, with the columns of `docs`."""
-    return mark_contaminated(docs, bench, doc_id, text).where(~F.col("contaminated")).select("row.*")
+    """The rows of `docs` that share no window with the benchmark, with the columns of `docs`; cases are decided as in `mark_contaminated`."""
+    marked = mark_contaminated(docs, bench, doc_id, text).select("row", "contaminated")
+    return evaluated(marked).where(~F.col("contaminated")).select("row.*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jurybox.llm.common import words_of
+from jurybox.llm.common import evaluated, words_of
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -39,7 +39,7 @@ RULES = (
     Rule("word_length", "mean_word_chars", 2.5, 12.0),
     Rule("symbols", "symbols_per_word", None, 0.25),
     Rule("lines", "duplicate_line_share", None, 0.4),
-    Rule("letters", "letter_word_share", 0.7, None),
+    Rule("letters", "letter_word_share", 0.7, None, 20),  # a phone number or a key must not decide on a short text
     Rule("stop_words", "stop_word_share", 0.04, None, 40),
 )
 
@@ -130,5 +130,6 @@ def judge_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of `df` that the rules keep, with the columns of `df`."""
-    return judge_quality(df, text, rules).where("kept").select("row.*")
+    """The rows of `df` that the rules keep, with the columns of `df`; cases are decided as in `judge_quality`."""
+    judged = judge_quality(df, text, rules).select("row", "kept")
+    return evaluated(judged).where("kept").select("row.*")

@@ -391,7 +391,7 @@ def _prepare(docs: DataFrame, doc_id: str, text: str, length: int) -> tuple[Data
     heads = facts.where(f"doc_id IS NOT NULL AND n_bytes >= {length}").groupBy("sha256", "key").agg(F.min("doc_id").alias("doc_id"))
     places = told.groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list("hot").alias("hots"))
     wanted = heads.select("doc_id", "key").join(places, "key")
-    cut = rows.join(wanted, ["doc_id", "key"])
+    cut = rows.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])  # repeated rows are one document
     contexts = cut.select("doc_id", "key", "text", "places", "hots").mapInArrow(_contexts(length), CONTEXT)
     contexts = settle(contexts, "contexts")
     size = contexts.agg(F.sum(F.length("context"))).first()[0] or 0

@@ -22,7 +22,7 @@ m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lamb
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.25
-  AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.4) AND n_letters / n_words >= 0.7
+  AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.4) AND (n_words < 20 OR n_letters / n_words >= 0.7)
   AND (n_words < 40 OR n_stop / n_words >= 0.04) AS kept
 FROM b
 """

@@ -76,3 +76,9 @@ def test_ids(documents):
     rows = sorted(((r.doc_id, r.n_removed) for r in repeats.remove_repeats(df).collect()), key=str)
     assert rows == sorted([(None, 0), (1, 0), (1, 0), (2, 400), (1, 0)], key=str)
     assert repeats.remove_repeats(documents([])).count() == 0
+
+
+def test_repeated_rows_and_a_third_document(documents):
+    rows = [(5, A), (5, A), (9, "xx" + A + B)]
+    got = sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(documents(rows)).collect())
+    assert got == [(5, 0), (5, 0), (9, 400)]
