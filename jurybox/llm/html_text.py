@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from jurybox.llm.common import settle
 from jurybox.llm.tokens import chunks
 
-MIN_PAGES = 8
-MIN_SHARE = 0.05  # so a host has at most 20 times as many templates as a page has elements
+MIN_PAGES = 8  # different articles beside which a subtree must stand to be template
 BROADCAST_BYTES = 16 << 20
 
 # Names of elements, classes and roles.
@@ -67,7 +66,8 @@ def is_dropped(tag: str, attrs: str) -> bool:
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(SPLIT_NAMES.split(value)):
+        # A paragraph or heading is judged by whole names, anything else by their words.
+        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(value.split() if tag in PROSE else SPLIT_NAMES.split(value)):
             return tag != "article" or not {"comment", "comments"}.isdisjoint(SPLIT_NAMES.split(value))
         if name == "role" and value in DROPPED_ROLES:
             return True
@@ -150,6 +150,10 @@ def parse(page: str) -> tuple[list[str | None], list[str], list[Element]]:
         else:
             stack.append(element)
     close(0)
+    mains = [e.first for e in elements if e.main]
+    for e in elements:
+        if e.tag == "form" and e.dropped and any(e.first < m < e.last for m in mains):
+            e.dropped = False  # a form around the whole article: only its controls go
     return texts, plain, elements
 
 
@@ -167,6 +171,25 @@ def subtree_hashes(plain: list[str], elements: list[Element]) -> list[tuple[Elem
     return out
 
 
+def article_sign(texts: list[str | None], elements: list[Element]) -> int:
+    """What pages with copies of one article share: the longest block of <article> or <main>, else all text of the page."""
+    import xxhash
+
+    blocks, now = [], []
+    for e in elements:
+        if e.main:
+            for part in texts[e.start:e.end]:
+                if part is None:
+                    blocks.append("".join(now))
+                    now = []
+                else:
+                    now.append(part)
+            blocks.append("".join(now))
+            now = []
+    sign = max(blocks, key=len) if blocks else " ".join(t for t in texts if t)
+    return xxhash.xxh3_64_intdigest(" ".join(sign.split())) - (1 << 63)
+
+
 def article_text(texts: list[str | None], elements: list[Element], gone: list[Element]) -> str:
     """Blocks of the article (of the whole body, if no element is one) without the elements gone."""
     keep = bytearray(len(texts))
@@ -189,16 +212,25 @@ def article_text(texts: list[str | None], elements: list[Element], gone: list[El
 
 
 def _hash_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, sign): subtrees and signs of the articles beside them, at most MIN_PAGES per chunk.
+
+    That many in one chunk are enough by themselves; fewer are all there.
+    """
     for batch in batches:
         for part in chunks(batch, "html"):
-            hosts, hashes = [], []
+            signs: dict[tuple[str, int], set[int]] = {}
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                 if host and page:
-                    _, plain, elements = parse(page)
-                    found = {h for _, h in subtree_hashes(plain, elements)}
-                    hosts += [host] * len(found)
-                    hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                    texts, plain, elements = parse(page)
+                    sign = article_sign(texts, elements)
+                    for _, h in subtree_hashes(plain, elements):
+                        beside = signs.setdefault((host, h), set())
+                        if len(beside) < MIN_PAGES:
+                            beside.add(sign)
+            rows = [(host, h, sign) for (host, h), beside in signs.items() for sign in beside]
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                                             names=["host", "hash", "sign"])
 
 
 def _extract_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,28 +254,54 @@ def host_of(url: Column) -> Column:
 
 
 def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, and the hashes of the subtrees on MIN_PAGES pages and MIN_SHARE of the pages of the host, or more."""
+    """(host, hash): the subtrees that stand beside MIN_PAGES different articles of the host, or more.
+
+    Copies of an article count once, so what recurs in them only is no template.
+    """
     read = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    counts = read.mapInArrow(_hash_pages, "host string, hash bigint").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = read.where("host IS NOT NULL AND html IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
-    often = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= MIN_SHARE * F.col("pages"))
-    return settle(often.groupBy("host").agg(F.collect_list("hash").alias("templates")), "templates")
+    beside = read.mapInArrow(_hash_pages, "host string, hash bigint, sign bigint").distinct()
+    often = beside.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    return settle(often.select("host", "hash"), "templates")
+
+
+def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, page): the subtrees of each page, its row named by a hash of its own values."""
+    for batch in batches:
+        for part in chunks(batch, "html"):
+            hosts, hashes, names = [], [], []
+            for host, name, page in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
+                if host and page:
+                    _, plain, elements = parse(page)
+                    found = {h for _, h in subtree_hashes(plain, elements)}
+                    hosts += [host] * len(found)
+                    names += [name] * len(found)
+                    hashes += found
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(names, pa.int64())],
+                                             names=["host", "hash", "page"])
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
-    Deleted: subtrees that recur across the host (prose of an article is never template), and
-    elements that say themselves that they are no article text. What is left of <article> or
-    <main> is the text, of the body where a page has neither. Null and empty pages give an
-    empty text; pages without a host have no template. Repeated rows give a row each, an
-    empty table none; other columns are not read.
+    Deleted: subtrees that recur beside different articles of the host (paragraphs and the like inside
+    <article> or <main> are never template: articles may share passages), and elements that say
+    themselves that they are no article text. What is left of <article> or <main> is the text, of the
+    body where a page has neither. Null and empty pages give an empty text; pages without a host have
+    no template. Repeated rows and copies of an article count once and give a row each, an empty table
+    none; other columns are not read. A host's templates are sent to all tasks where they are few,
+    else each page's own are looked up by (host, hash).
     """
     templates = host_templates(pages, url, html)
-    total = templates.agg(F.sum(F.size("templates") * 8 + F.length("host") + 32)).first()[0] or 0
-    if total <= BROADCAST_BYTES:
-        templates = F.broadcast(templates)
+    total = templates.agg(F.sum(F.length("host") + 40)).first()[0] or 0
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    if total <= BROADCAST_BYTES:
+        known = templates.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+        joined = rows.join(F.broadcast(known), "host", "left")
+    else:
+        rows = rows.withColumn("page", F.xxhash64("host", "html"))
+        own = rows.select("host", "page", "html").mapInArrow(_page_hashes, "host string, hash bigint, page bigint").distinct()
+        known = own.join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_list("hash").alias("templates"))
+        joined = rows.join(known, "page", "left")
+    joined = joined.select("page_id", "url", "html", "templates")
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     return joined.mapInArrow(_extract_pages, f"{kinds}, text string").withColumn("n_chars", F.length("text").cast("bigint"))

@@ -20,7 +20,9 @@ def text_of(page, templates=()):
     ("<article><p title=\"a>b\">q</p><!-- x > y --><ul><li>1<li>2</ul></article>", "q 1 2"),
     ("<article><p>open", "open"), ("<article><p>cut <a href='x", "cut"), ("a < b <3 c", "a < b <3 c"),
     ("<article>w<b>o</b>r<i>d</i></article>", "word"), ("<title>t</title><p>body</p>", "body"),
-    ("<main><h2>m</h2></main><p>out</p>", "m"), ("<div>" * 3000 + "deep", "deep"), ("<p>" + "long " * 50000, ("long " * 50000).strip()),
+    ("<main><h2>m</h2></main><p>out</p>", "m"), ("<div>" * 3000 + "deep", "deep"),
+    ("<form><label>l</label><article><h1>T</h1><p class='related-work'>a</p></article><input><button>go</button></form>", "T a"),
+    ("<article><p class=related>gone</p><p>b</p></article>", "b"), ("<p>" + "long " * 50000, ("long " * 50000).strip()),
 ])
 def test_parse(page, want):
     assert text_of(page) == want
@@ -44,6 +46,34 @@ def test_article_prose_is_no_template(table):
     assert {r.text for r in ht.extract_text(pages(table, rows)).collect()} == {"the same passage x"}
 
 
+def brute_templates(rows):
+    """Subtrees beside at least MIN_PAGES different longest article blocks, counted page by page."""
+    beside = {}
+    for _, url, page in rows:
+        texts, plain, elements = ht.parse(page)
+        sign = ht.article_sign(texts, elements)
+        for _, h in ht.subtree_hashes(plain, elements):
+            beside.setdefault((url.split("/")[2], h), set()).add(sign)
+    return {key for key, signs in beside.items() if len(signs) >= ht.MIN_PAGES}
+
+
+@pytest.mark.parametrize("limit", [ht.BROADCAST_BYTES, -1])
+def test_copies_keep_their_article(table, monkeypatch, limit):
+    monkeypatch.setattr(ht, "BROADCAST_BYTES", limit)
+    menu = "<div><span>All about us</span></div>"
+    copy = menu + "<article><h1>T0</h1><div class='content'><p>one body of many words</p><p>more of it</p></div></article>"
+    rows = [(i, f"http://c.example/{i}", copy) for i in range(10)]
+    rows += [(10 + i, f"http://c.example/{i}", menu + f"<article><h1>T{i}</h1><div class='content'><p>own text {i}</p></div></article>") for i in range(90)]
+    # A rotating notice: each of 5 variants beside ten articles, a small share of the host.
+    rows += [(100 + i, "http://n.example/", f"<div><b>notice {i % 5}</b></div><div>page {i}</div>") for i in range(50)]
+    rows += [rows[0]] * 3
+    df = pages(table, rows)
+    got = {r.page_id: r.text for r in ht.extract_text(df.repartition(4)).collect()}
+    assert got[0] == "T0 one body of many words more of it" and got[15] == "T5 own text 5"
+    assert [got[100 + i] for i in range(50)] == [f"page {i}" for i in range(50)]
+    assert {(r.host, r.hash) for r in ht.host_templates(df).collect()} == brute_templates(rows)
+
+
 def test_shuffled_join_and_empty(table, monkeypatch):
     monkeypatch.setattr(ht, "BROADCAST_BYTES", -1)
     rows = [(i % 3, "http://s.example/", f"<div>footer line</div><div>page {i}</div>") for i in range(9)]
