@@ -1,8 +1,8 @@
-"""Exact order statistics without collecting a column into one task.
+"""Exact order statistics without collecting a column into one task: radix selection on counts.
 
-Rank selection works on counts: values are counted into ranges between the
-smallest and largest value, the range holding the wanted rank is kept and split
-again, and only the few values of the last range are put in order.
+A value becomes a 64-bit key of the same order. Keys are counted by their first 16 bits; the
+counts tell in which of the at most 65,536 cells a wanted rank lies, and the values of that cell are
+counted by the next 16 bits. After four digits a cell is one value, whatever the values are.
 """
 
 from __future__ import annotations
@@ -11,66 +11,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jurybox.operators.joins import estimated_bytes, lookup_join
-
-# Below this size a single task may hold the column (exact `percentile`), or the
-# rows of a limit with their texts; above it the counting form is used. Both give
-# the same result.
-ONE_TASK_BYTES = 64 * 1024 * 1024
+# Up to this many rows of a limit, with their texts, come to one task; beyond it a cut by rank is used.
 ONE_TASK_ROWS = 1_000
-RANGES = 65_536
+DIGIT = 16
+DIGITS = 4
 
 
 def smallest(df: DataFrame, column: str, n: int) -> DataFrame:
-    """The n rows with the smallest values of `column`, whose values are unique."""
-    if n <= ONE_TASK_ROWS:
+    """The n rows with the smallest values of `column`, whose values are unique; a negative n leaves out the last |n|.
+
+    No count is taken while the plan is built: the cut is a scalar subquery over the column's values alone.
+    """
+    if 0 <= n <= ONE_TASK_ROWS:
         return df.orderBy(column).limit(n)
-    keys = df.select(column)
-    cut = order_statistics(keys, column, {"v": F.least(F.lit(n), F.col("_total")) - 1})
+    wanted = F.least(F.lit(n), F.col("_total")) if n > 0 else F.col("_total") + n
+    cut = order_statistics(df.select(column), column, {"v": wanted - 1})
     return df.where(F.col(column) <= cut.select(F.col("v").cast("bigint")).scalar())
 
 
+def ordered_key(value: Column, kind: T.DataType) -> Column:
+    """A BIGINT that orders like `value`: integers themselves, of doubles their bits, those of negative ones turned over."""
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double")).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
 def order_statistics(
-    df: DataFrame, value: str, ranks: dict[str, Column], by: Sequence[str] = (), levels: int = 2,
-    ranges: int = RANGES, salted: bool | None = None,
+    df: DataFrame, value: str, ranks: dict[str, Column], by: Sequence[str] = (),
 ) -> DataFrame:
     """Values at the given ranks per group, one column per name in `ranks`.
 
-    A rank is an expression over `_total`, the group's number of non-null
-    values, counted from zero.
+    A rank is an expression over `_total`, the group's number of non-null values, counted from zero;
+    one outside 0 to `_total` - 1 finds null. Equal values become one row with a count first, combined on
+    the map side; all digits read these counts from the same shuffle. A window holds the cells of one
+    digit, at most 65,536 rows.
     """
-    # Equal values become one row with a count, combined on the map side.
+    kind = df.schema[value].dataType
+    stored = F.col(value) if isinstance(kind, T.IntegralType) else F.col(value).cast("double")
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(_group(by), F.col(value).cast("double").alias("_v"))
+        .groupBy(_group(by), stored.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_g", "_v", "_n", ordered_key(F.col("_v"), kind).alias("_key"))
     )
-    spans = counts.groupBy("_g").agg(
-        F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    # One row per group: intervals, each with the ranks to find inside it.
+
+    def cells(rows: DataFrame, digit: int, *more: Column) -> DataFrame:
+        here = F.shiftright("_key", 64 - DIGIT * (digit + 1))
+        # The first digit keeps its sign, which orders it.
+        cell = (here if digit == 0 else here.bitwiseAND((1 << DIGIT) - 1)).alias("_cell")
+        prefix = ["_g", "_p"] if digit else ["_g"]
+        return rows.groupBy(*prefix, cell).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"), *more)
+
     wanted = F.array(*[F.struct(F.lit(k).alias("_name"), r.cast("bigint").alias("_rank")) for k, r in ranks.items()])
-    targets = spans.select("_g", F.array(F.struct("_lo", "_hi", wanted.alias("_ranks"))).alias("_targets"))
-
-    for _ in range(levels):
-        # Rounding keeps the order of values, so every range is an interval.
-        place = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-        cell = F.floor(F.coalesce(place, F.lit(0.0)) * ranges).cast("int")
-        cells = (
-            _inside(counts, targets, by, salted)
-            .groupBy("_g", F.col("_lo").alias("_from"), cell.alias("_cell"))
-            .agg(
-                F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                F.any_value("_ranks").alias("_ranks"),
-            )
-        )
-        interval = F.struct("_lo", "_hi", "_ranks")
-        targets = _pick(cells, "_from", "_cell").groupBy("_g").agg(F.collect_list(interval).alias("_targets"))
-
-    final = _pick(_inside(counts, targets, by, salted), "_lo", "_v").select("_g", "_v", F.inline("_ranks"))
+    first = cells(counts, 0).withColumn("_total", F.sum("_n").over(Window.partitionBy("_g"))).withColumn("_ranks", wanted)
+    found = _pick(first, ["_g"]).select("_g", F.col("_cell").alias("_p"), "_v", "_ranks")
+    for digit in range(1, DIGITS):
+        # At most as many rows per group as ranks: Spark sees their size at run time and broadcasts them if
+        # they are few, else it splits hot prefixes of the counts.
+        narrowed = counts.withColumn("_p", F.shiftright("_key", 64 - DIGIT * digit)).join(found.select("_g", "_p", "_ranks"), ["_g", "_p"])
+        picked = _pick(cells(narrowed, digit, F.any_value("_ranks").alias("_ranks")), ["_g", "_p"])
+        longer = F.shiftleft("_p", DIGIT).bitwiseOR(F.col("_cell"))
+        found = picked.select("_g", longer.alias("_p"), "_v", "_ranks")
+    named = found.select("_g", "_v", F.inline("_ranks"))
     at = [F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks]
-    return final.groupBy("_g").agg(*at).select(*[F.col(f"_g.{b}").alias(b) for b in by], *ranks)
+    return named.groupBy("_g").agg(*at).select(*[F.col(f"_g.{b}").alias(b) for b in by], *ranks)
 
 
 def _group(by: Sequence[str]) -> Column:
@@ -78,23 +85,10 @@ def _group(by: Sequence[str]) -> Column:
     return F.struct(*by).alias("_g") if by else F.struct(F.lit(0).alias("all")).alias("_g")
 
 
-def _inside(counts: DataFrame, targets: DataFrame, by: Sequence[str], salted: bool | None) -> DataFrame:
-    """Counted values inside an interval of their group, with the interval.
-
-    `targets` has one row per group, of no more intervals than ranks asked for.
-    """
-    if by:
-        joined = lookup_join(counts, targets, "_g", salted=salted)
-    else:
-        joined = counts.join(F.broadcast(targets), "_g")  # one row
-    hit = F.filter("_targets", lambda t: F.col("_v").between(t["_lo"], t["_hi"]))
-    return joined.select("_g", "_v", "_n", F.inline(hit))
-
-
-def _pick(df: DataFrame, interval: str, order: str) -> DataFrame:
-    """Rows at which the running count passes a rank; these ranks, relative to the row."""
-    running = Window.partitionBy("_g", interval).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    passed = df.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
+def _pick(cells: DataFrame, within: Sequence[str]) -> DataFrame:
+    """Cells at which the running count passes a rank; these ranks, relative to the cell."""
+    running = Window.partitionBy(*within).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    passed = cells.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
     here = F.transform(
         F.filter("_ranks", lambda r: (r["_rank"] >= F.col("_before")) & (r["_rank"] < F.col("_upto"))),
         lambda r: F.struct(r["_name"].alias("_name"), (r["_rank"] - F.col("_before")).alias("_rank")),
@@ -104,7 +98,6 @@ def _pick(df: DataFrame, interval: str, order: str) -> DataFrame:
 
 def percentiles(
     df: DataFrame, value: str, points: dict[str, float], by: Sequence[str] = (), extra: Sequence[Column] = (),
-    one_task: bool | None = None,
 ) -> DataFrame:
     """Exact percentiles with linear interpolation per group, named by `points`.
 
@@ -112,10 +105,6 @@ def percentiles(
     """
     by = list(by)
     extra_names = df.groupBy(*by).agg(F.count(F.lit(1)), *extra).columns[len(by) + 1:]
-    if one_task is None:
-        one_task = estimated_bytes(df) <= ONE_TASK_BYTES
-    if one_task:
-        return df.groupBy(*by).agg(*extra, *[F.percentile(value, p).alias(k) for k, p in points.items()])
     last = F.col("_total") - 1
     ranks: dict[str, Column] = {}
     for k, p in points.items():

@@ -90,7 +90,7 @@ def limit_samples(samples: DataFrame, n: int) -> DataFrame:
 
 def limit_examples(samples: DataFrame, n: int) -> DataFrame:
     """Like a slice `[:n]`: zero gives none, a negative n drops the last |n|."""
-    return smallest(samples, "line_no", n if n >= 0 else max(samples.count() + n, 0))
+    return smallest(samples, "line_no", n)
 
 
 def to_canonical_sample(samples: DataFrame) -> DataFrame:

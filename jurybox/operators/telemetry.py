@@ -23,9 +23,7 @@ def filter_events(
     return logs
 
 
-def describe_latency(
-    df: DataFrame, by: Sequence[str] = (), value: str = "latency_ms", one_task: bool | None = None
-) -> DataFrame:
+def describe_latency(df: DataFrame, by: Sequence[str] = (), value: str = "latency_ms") -> DataFrame:
     """count, mean, std (sample), min, quartiles (linear), max."""
     extra = [
         F.count(value).alias("count"),
@@ -35,14 +33,12 @@ def describe_latency(
         F.max(value).alias("max"),
     ]
     points = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    return percentiles(df, value, points, by, extra, one_task).select(
+    return percentiles(df, value, points, by, extra).select(
         *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 
-def cost_latency(
-    judgements: DataFrame, by: Sequence[str] = ("model_id",), one_task: bool | None = None
-) -> DataFrame:
+def cost_latency(judgements: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
     """Rows, latency (mean, median, 95 %), retries and cost per group.
 
     Answers that came from the cache were counted by the run that asked; they are left out.
@@ -56,7 +52,7 @@ def cost_latency(
         F.coalesce(F.sum("cost_estimate"), F.lit(0.0)).alias("cost"),
     ]
     points = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
-    return percentiles(judgements, "latency_ms", points, by, extra, one_task)
+    return percentiles(judgements, "latency_ms", points, by, extra)
 
 
 def count_errors(logs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -74,6 +74,8 @@ SHAPES = {
     "few values": lambda r: float(r.randrange(4)),
     "one value": lambda r: 7.0,
     "far outliers": lambda r: r.choice([r.uniform(0, 1), 1e12 * r.random(), -1e9]),
+    "close together": lambda r: 1.0 + r.randrange(40) * 2.0 ** -52,
+    "both signs": lambda r: r.choice([-1.0, 1.0]) * r.choice([0.0, 5e-324, 1.5, 1e300, r.random()]),
 }
 
 
@@ -84,23 +86,37 @@ def test_percentiles_by_rank(spark, shape):
     df = spark.createDataFrame(rows, "k string, v double")
     points = {"p0": 0.0, "p25": 0.25, "p95": 0.95, "p100": 1.0}
     extra = [F.count("v").alias("n")]
-    plain = {r["k"]: r.asDict() for r in order.percentiles(df, "v", points, ["k"], extra, one_task=True).collect()}
-    ranked = {r["k"]: r.asDict() for r in order.percentiles(df, "v", points, ["k"], extra, one_task=False).collect()}
+    at = [F.percentile("v", p).alias(k) for k, p in points.items()]
+    plain = {r["k"]: r.asDict() for r in df.groupBy("k").agg(*extra, *at).collect()}
+    ranked = {r["k"]: r.asDict() for r in order.percentiles(df, "v", points, ["k"], extra).collect()}
     assert set(plain) == {"a", "b", None, "one", "none"} == set(ranked)
+    assert ranked == plain  # in every bit
     for k, want in plain.items():
-        assert ranked[k] == {n: x if x is None or n == "k" else pytest.approx(x, rel=1e-12) for n, x in want.items()}
         values = [v for g, v in rows if g == k and v is not None]
         if values:
             assert want["p95"] == pytest.approx(np.quantile(values, 0.95))
 
 
+def test_percentiles_of_one_far_value(spark):
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_000 / 30_000).alias("v")).union(spark.sql("SELECT 1e12D"))
+    points = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = df.agg(*[F.percentile("v", p).alias(k) for k, p in points.items()]).first()
+    assert order.percentiles(df, "v", points).first() == want
+
+
+def test_ranks_of_integers_and_outside(spark):
+    df = spark.range(1 << 60, (1 << 60) + 500).select("id")
+    total = F.col("_total")
+    got = order.order_statistics(df, "id", {"low": F.lit(0), "mid": F.lit(250), "top": total - 1, "over": total, "under": F.lit(-1)}).first()
+    assert tuple(got) == (1 << 60, (1 << 60) + 250, (1 << 60) + 499, None, None)
+
+
 def test_describe_is_that_of_pandas(spark):
     values = [float(x % 97) / 3 for x in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "latency_ms double")
     want = pd.Series(values).describe()
-    for one_task in (True, False):
-        got = telemetry.describe_latency(df, one_task=one_task).first()
-        assert [got[c] for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(list(want))
+    got = telemetry.describe_latency(df).first()
+    assert [got[c] for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(list(want))
 
 
 def test_smallest_beyond_one_task(spark, monkeypatch):
@@ -108,6 +124,15 @@ def test_smallest_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(order, "ONE_TASK_ROWS", 10)
     for n in (11, 999, 1000, 5000):
         assert sorted(r[0] for r in samples.limit_samples(df, n).collect()) == list(range(0, 3000, 3))[:n]
+    for n in (0, 5, -1, -999, -1000, -2000):
+        assert sorted(r[0] for r in samples.limit_examples(df, n).collect()) == list(range(0, 3000, 3))[:n]
+
+
+def test_limits_run_nothing_before_they_are_asked(spark):
+    failing = spark.range(100).select(F.when(F.col("id") >= 0, F.raise_error(F.lit("evaluated")).cast("bigint")).alias("line_no"))
+    for limited in (samples.limit_examples(failing, -3), samples.limit_samples(failing, 5000)):
+        with pytest.raises(Exception, match="evaluated"):
+            limited.collect()
 
 
 def test_run_tables(spark):

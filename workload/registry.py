@@ -374,8 +374,10 @@ def cost_latency(spark, sf):
 
 @query
 def cost_latency_ranks(spark, sf):
-    """The same percentiles by rank selection, the form for large tables."""
-    return _rounded_cost(telemetry.cost_latency(t.judgements(spark, sf), one_task=False))
+    """The same where a thousandth of the rows took 10^12 times as long: the last digits decide as well."""
+    rare = F.col("latency_ms") % 1000 == 137
+    j = t.judgements(spark, sf).withColumn("latency_ms", F.when(rare, F.col("latency_ms") * F.lit(1e12)).otherwise(F.col("latency_ms")))
+    return _rounded_cost(telemetry.cost_latency(j))
 
 
 def _rounded_cost(df):
@@ -564,9 +566,8 @@ def describe_latency(spark, sf):
 
 @query
 def describe_latency_by_run(spark, sf):
-    """Per run, by rank selection, the form for large tables."""
     ok = telemetry.filter_events(t.logs(spark, sf), event="inference_success")
-    return _described(telemetry.describe_latency(ok, ["run_id"], one_task=False), "run_id")
+    return _described(telemetry.describe_latency(ok, ["run_id"]), "run_id")
 
 
 @query
