@@ -92,13 +92,14 @@ def lookup_join(
 
 
 def last_wins(df: DataFrame, key: str | Sequence[str], order: str = "line_no") -> DataFrame:
-    """Keep the row with the highest `order` per key.
+    """One row per key, the one with the highest `order`; a null key is a key as well.
 
-    The highest order per key is an aggregate over two narrow columns, at most one row per
-    key and task; the wide rows are then picked by it and never sorted or grouped. `order`
-    is unique, as line numbers are.
+    A null order loses to any other. Rows of one key and order are told apart by their other columns,
+    the greatest in the order of the columns stays, nulls last: the result is the same however rows are
+    spread, and rows equal in every column are one. A maximum over (order, columns) that combines on
+    the map side, so the input is read once and copies of a hot key cost one row per task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    # Null keys are a key as well, so the order itself is what is looked up.
-    wins = df.groupBy(*keys).agg(F.max(order).alias(order)).select(order)
-    return df.join(wins, order, "left_semi").select(*df.columns)
+    rest = [order, *[c for c in df.columns if c not in (*keys, order)]]
+    last = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col("_last")[c].alias(c) for c in df.columns])

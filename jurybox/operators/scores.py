@@ -6,13 +6,16 @@ equal rows they stand for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jurybox.operators.joins import lookup_join
+
 PAIR = ["query_id", "docid"]
 
 
@@ -127,29 +130,121 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
 
 def confidence_table(df: DataFrame, digits: int | None = None) -> DataFrame:
     """(confidence, n, accuracy) per confidence; rounded to `digits` only if asked."""
+    return _right(df, digits).select("confidence", "n", (F.col("right") / F.col("n")).alias("accuracy"))
+
+
+def _right(df: DataFrame, digits: int | None) -> DataFrame:
+    """(confidence, n, right): rows, and those with the right label, per confidence."""
     n = _n(df)
     correct = F.when(F.col("gold") == F.col("pred"), n).otherwise(0)
     return (
         df.where(F.col("confidence").isNotNull())
-        .groupBy((F.col("confidence") if digits is None else F.round("confidence", digits)).alias("confidence"))
-        .agg(F.sum(n).cast("bigint").alias("n"), (F.sum(correct) / F.sum(n)).alias("accuracy"))
+        .groupBy((F.col("confidence") if digits is None else F.round("confidence", digits)).cast("double").alias("confidence"))
+        .agg(F.sum(n).cast("bigint").alias("n"), F.sum(correct).cast("bigint").alias("right"))
     )
 
 
-def _features(table: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["confidence"], outputCol="features").transform(table)
-
+# Block lists that one task of the next level merges.
+FAN = 64
+# Blocks that are looked up together: their first confidences alone come to the driver.
+CHUNK = 64
 
-def fit_calibration(df: DataFrame, digits: int | None = None) -> IsotonicRegressionModel:
-    """Isotonic regression of being right on confidence.
+BLOCKS = "part bigint, seq bigint, low double, high double, n bigint, right bigint"
 
-    Rows of equal confidence are counted first: the fit is the same. `digits` rounds
-    confidences before: 4 digits leave at most 10,001 points, but move thresholds.
-    """
-    table = _features(confidence_table(df, digits))
-    return IsotonicRegression(featuresCol="features", labelCol="accuracy", weightCol="n").fit(table)
 
+def pool(blocks: Iterator[tuple[float, float, int, int]]) -> list[tuple[float, float, int, int]]:
+    """Adjacent blocks (low, high, n, right) in order, pooled until their shares of right rows increase.
 
-def calibrate(model: IsotonicRegressionModel, df: DataFrame) -> DataFrame:
-    """Add `calibrated`, the fitted chance of being right, to rows with a confidence."""
-    return model.setPredictionCol("calibrated").transform(_features(df)).drop("features")
+    Shares are compared as whole numbers, so the order of merging does not matter: pooling lists that
+    were pooled before gives what one pass over everything gives.
+    """
+    out: list[tuple[float, float, int, int]] = []
+    for low, high, n, right in blocks:
+        while out and out[-1][3] * n >= right * out[-1][2]:
+            low, _, more, more_right = out.pop()
+            n, right = n + more, right + more_right
+        out.append((low, high, n, right))
+    return out
+
+
+def _pool_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`pool` for the blocks of each part, which come sorted by part and place."""
+    names = ["low", "high", "n", "right"]
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in ["part", *names]])
+
+    def result(part: int, blocks: list) -> pa.RecordBatch:
+        size = len(blocks)
+        columns = [pa.array([b[i] for b in blocks], pa.float64() if i < 2 else pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array([part] * size, pa.int64()), pa.array(range(size), pa.int64()), *columns], ["part", "seq", *names])
+
+    stream = rows()
+    row = next(stream, None)
+    while row is not None:
+        part = row[0]
+
+        def of_part() -> Iterator[tuple]:
+            nonlocal row
+            while row is not None and row[0] == part:
+                yield row[1:]
+                row = next(stream, None)
+
+        yield result(part, pool(of_part()))
+
+
+def fit_calibration(df: DataFrame, digits: int | None = None, fan: int = FAN) -> DataFrame:
+    """Isotonic regression of being right on confidence: blocks (seq, low, high, n, right, calibrated) in order.
+
+    Rows of equal confidence are counted first. Each range of confidences is pooled by itself, and the
+    lists of `fan` adjacent ranges are merged and pooled again, level by level, in their order. Only blocks
+    move on: with whole numbers of rows, N rows allow about N^(2/3) blocks of increasing shares at most,
+    and noisy labels leave about the cube root. The few blocks are kept in Spark's cache, since `calibrate`
+    reads them twice; `unpersist()` frees them. `digits` rounds confidences before; it moves thresholds.
+    """
+    spark = df.sparkSession
+    points = _right(df, digits).select(F.col("confidence").alias("low"), F.col("confidence").alias("high"), "n", "right")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(parts, "low").withColumn("part", F.spark_partition_id().cast("bigint"))
+    blocks = ranged.sortWithinPartitions("part", "low").withColumn("seq", F.lit(0).cast("bigint")).select(
+        "part", "seq", "low", "high", "n", "right").mapInArrow(_pool_parts, BLOCKS)
+    while parts > 1:
+        parts = -(-parts // fan)
+        merged = blocks.withColumn("group", F.expr(f"part div {fan}"))
+        placed = merged.repartition(parts, "group") if parts > 1 else merged.repartition(1)
+        blocks = placed.sortWithinPartitions("group", "part", "seq").drop("part").withColumnRenamed("group", "part").mapInArrow(
+            _pool_parts, BLOCKS)
+    return blocks.select("seq", "low", "high", "n", "right", (F.col("right") / F.col("n")).alias("calibrated")).persist()
+
+
+def calibrate(blocks: DataFrame, df: DataFrame) -> DataFrame:
+    """Add `calibrated`, the fitted chance of being right, to rows with a `confidence`.
+
+    Inside a block it is the block's share, between two blocks on the line between them, outside that of
+    the nearest. Null where the confidence is null or nothing was fitted. Blocks are looked up CHUNK at
+    a time: a confidence finds its chunk by the chunks' first confidences, one number per CHUNK blocks.
+    """
+    after = F.struct(F.col("seq").alias("seq"), F.col("low").alias("low"), F.col("high").alias("high"), F.col("calibrated").alias("share"))
+    # Each chunk also holds the block after its last.
+    member = blocks.select(after.alias("b"), F.explode(F.array_distinct(F.array(
+        F.expr(f"seq div {CHUNK}"), F.greatest(F.expr(f"(seq - 1) div {CHUNK}"), F.lit(0).cast("bigint"))))).alias("_chunk"))
+    chunks = member.groupBy("_chunk").agg(F.array_sort(F.collect_list("b")).alias("_blocks"))
+    firsts = np.array([r["low"] for r in blocks.where(F.col("seq") % CHUNK == 0).select("seq", "low").orderBy("seq").collect()], dtype=float)
+
+    @F.pandas_udf("bigint")
+    def chunk_of(confidence: pd.Series) -> pd.Series:
+        place = np.searchsorted(firsts, confidence.to_numpy(dtype=float), side="right") - 1
+        return pd.Series(np.maximum(place, 0)).astype("Int64").where(confidence.notna().to_numpy(), None)
+
+    x = F.col("confidence").cast("double")
+    placed = df.withColumn("_chunk", chunk_of(x))
+    found = lookup_join(placed, chunks, "_chunk", "left")
+    before = F.element_at(F.filter("_blocks", lambda b: b["low"] <= x), -1)
+    behind = F.element_at(F.filter("_blocks", lambda b: b["low"] > x), 1)
+    rows = found.withColumns({"_before": F.when(F.size(F.filter("_blocks", lambda b: b["low"] <= x)) > 0, before),
+                              "_behind": F.when(F.size(F.filter("_blocks", lambda b: b["low"] > x)) > 0, behind)})
+    left, right = F.col("_before"), F.col("_behind")
+    line = left["share"] + (right["share"] - left["share"]) * (x - left["high"]) / (right["low"] - left["high"])
+    value = F.when(left.isNull(), right["share"]).when((x <= left["high"]) | right.isNull(), left["share"]).otherwise(line)
+    return rows.withColumn("calibrated", F.when(x.isNotNull(), value)).select(*df.columns, "calibrated")

@@ -236,3 +236,18 @@ def test_hot_query_and_document(spark, monkeypatch):
     assert plain.count() > 4000
     assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
     assert {r["_hot_docid"] for r in joins.hot_keys(qrels, ["docid"]).collect()} == {"d0"}
+
+
+def test_last_wins_with_repeated_and_null_orders(spark):
+    from jurybox.operators.joins import last_wins
+
+    rows = [("a", 1, "old"), ("a", 2, "new"), ("b", 1, "b1"), ("b", 2, "b2"), ("b", 2, "b2"), ("b", 2, "b0"), ("c", 1, "c1"),
+            ("d", None, "d0"), ("d", None, None), (None, 3, "n"), (None, None, "m"), ("e", -1, "e"), ("e", None, "z")]
+    df = spark.createDataFrame(rows, "k string, line_no bigint, v string")
+    want = {("a", 2, "new"), ("b", 2, "b2"), ("c", 1, "c1"), ("d", None, "d0"), (None, 3, "n"), ("e", -1, "e")}
+    for parts in (1, 5):
+        got = [tuple(r) for r in last_wins(df.repartition(parts), "k").collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert last_wins(df, ["k", "v"]).count() == 12
+    plan = last_wins(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan and "partial_max" in plan

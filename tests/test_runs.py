@@ -12,7 +12,7 @@ from jurybox.sources import readers, registry, sinks
 from jurybox.streaming import judge_new_samples
 
 SAMPLE = {"dataset": "llm-judge-2024", "query_id": "q1", "query_text": "té\nxt", "docid": "d1", "doc": "a", "gold_relevance": 1}
-GIT = {"git_sha": "4fd2136", "git_clean": True, "git_branch": "main"}
+GIT = {"git_sha": "c0ffee1", "git_clean": True, "git_branch": "main"}
 
 
 @pytest.fixture
@@ -51,9 +51,9 @@ def test_samples_round_trip(spark, tmp_path, lines):
 
 
 def test_judgements_keep_nulls(spark, tmp_path):
-    df = spark.sql("SELECT 'm' AS model_id, CAST(NULL AS INT) AS label, CAST(array() AS array<string>) AS warnings")
+    df = spark.sql("SELECT 'm' AS model_id, 'q' AS query_id, 'd' AS docid, CAST(NULL AS INT) AS label, CAST(array() AS array<string>) AS warnings")
     sinks.write_judgements(df, str(tmp_path / "j.ndjson"))
-    assert read_lines_of(tmp_path / "j.ndjson") == ['{"model_id":"m","label":null,"warnings":[]}']
+    assert read_lines_of(tmp_path / "j.ndjson") == ['{"model_id":"m","query_id":"q","docid":"d","label":null,"warnings":[]}']
     df.write.parquet(str(tmp_path / "p.parquet"))
     both = readers.read_judgements(spark, [str(tmp_path / "j.ndjson"), str(tmp_path / "p.parquet")])
     assert both.count() == 2 and "raw_text" in both.columns
@@ -90,13 +90,14 @@ def test_manifests(spark, tmp_path):
 
 
 def test_logs_and_splits(spark, tmp_path):
-    record = {"event": "inference_started", "cli": "infer", "run_id": "r", "git_sha": "85bf941", "model": "phi3-mini", "num_samples": 100, "level": "info", "logger": "infer", "timestamp": "2025-10-15T17:44:02.637529Z", "extra": [1]}
+    record = {"event": "asked", "cli": "infer", "run_id": "r", "git_sha": "0badcafe", "model": "m1", "num_samples": 7, "level": "info",
+              "logger": "infer", "timestamp": "2031-02-03T04:05:06.070809Z", "extra": [1]}
     (tmp_path / "logs.jsonl").write_text(json.dumps(record) + "\n\n")
     row = readers.read_logs(spark, str(tmp_path / "*.jsonl")).select("*", F.expr("variant_get(fields, '$.extra[0]', 'int')").alias("x")).first()
-    assert (row["event"], row["num_samples"], row["x"]) == ("inference_started", 100, 1)
-    assert str(row["timestamp"]) == "2025-10-15 17:44:02.637529"
-    (tmp_path / "train.jsonl").write_text('{"sample_id":"a"}\n')
-    (tmp_path / "test.jsonl").write_text('{"sample_id":"b"}\n{"sample_id":"c"}\n')
+    assert (row["event"], row["num_samples"], row["x"]) == ("asked", 7, 1)
+    assert str(row["timestamp"]) == "2031-02-03 04:05:06.070809"
+    (tmp_path / "train.jsonl").write_text('{"sample_id":"a","query":"x"}\n')
+    (tmp_path / "test.jsonl").write_text('{"sample_id":"b","query":"y"}\n{"sample_id":"c","query":"z"}\n')
     splits = readers.read_dataset_splits(spark, {s: str(tmp_path / f"{s}.jsonl") for s in ("train", "test")}, "ch", "0.1")
     assert sorted((r["sample_id"], r["split"], r["version"]) for r in splits.collect()) == [("a", "train", "0.1"), ("b", "test", "0.1"), ("c", "test", "0.1")]
 

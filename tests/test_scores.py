@@ -1,6 +1,7 @@
 """Metrics, slices, calibration and order statistics against plain Python."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,49 @@ def test_calibration(scored):
     assert fitted == sorted(fitted) and 0 <= fitted[0] <= fitted[-1] <= 1
 
 
+def one_pass(points):
+    """Pool adjacent violators over (confidence, n, right), by fractions."""
+    out = []
+    for c, n, right in points:
+        out.append([c, c, n, right])
+        while len(out) > 1 and Fraction(out[-2][3], out[-2][2]) >= Fraction(out[-1][3], out[-1][2]):
+            low, _, m, r = out.pop(-2)
+            out[-1] = [low, out[-1][1], out[-1][2] + m, out[-1][3] + r]
+    return [tuple(b) for b in out]
+
+
+@pytest.mark.parametrize("noise", [0, 300, 10_000_000])
+def test_calibration_of_a_million_confidences(spark, noise):
+    size = 1_000_000 if noise == 300 else 20_000
+    spread = F.when(F.lit(noise) > 0, F.pmod(F.xxhash64("id"), F.lit(max(noise, 1)))).otherwise(F.lit(0))
+    rows = spark.range(size).select((F.col("id") / size).alias("confidence"), F.lit(1000).alias("n"),
+                                    (F.least(F.col("id") + spread, F.lit(size)) * 1000 / size).cast("bigint").alias("hits"))
+    counted = rows.select("confidence", F.inline(F.array(
+        F.struct(F.lit(1).alias("gold"), F.lit(1).alias("pred"), F.col("hits").alias("n")),
+        F.struct(F.lit(1).alias("gold"), F.lit(0).alias("pred"), (F.lit(1000) - F.col("hits")).alias("n")))))
+    got = [tuple(r) for r in scores.fit_calibration(counted.repartition(7), fan=2).select("low", "high", "n", "right").orderBy("low").collect()]
+    if size == 20_000:
+        want = one_pass([(r["confidence"], 1000, r["hits"]) for r in rows.orderBy("confidence").collect()])
+    else:
+        want = scores.pool((r["confidence"], r["confidence"], 1000, r["hits"]) for r in rows.orderBy("confidence").toLocalIterator())
+    assert got == want
+
+
+def test_calibrated_between_and_outside(spark, monkeypatch):
+    monkeypatch.setattr(scores, "CHUNK", 2)
+    blocks = [(i, i / 10 + 0.01, i / 10 + 0.05, 10, i, i / 10) for i in range(7)]
+    fitted = spark.createDataFrame(blocks, "seq bigint, low double, high double, n bigint, right bigint, calibrated double")
+    at = [-1.0, 0.01, 0.03, 0.05, 0.08, 0.2, 0.4, 0.61, 0.63, 0.65, 0.9, None]
+    df = spark.createDataFrame([(x,) for x in at], "confidence double")
+    knots = [(v, b[5]) for b in blocks for v in (b[1], b[2])]
+    got = {r["confidence"]: r["calibrated"] for r in scores.calibrate(fitted, df).collect()}
+    assert got.pop(None) is None and len(got) == len(at) - 1
+    for x, y in got.items():
+        assert y == pytest.approx(float(np.interp(x, *zip(*knots))))
+    nothing = scores.calibrate(fitted.limit(0), df)
+    assert {r["calibrated"] for r in nothing.collect()} == {None}
+
+
 def test_gold_rows_count(spark):
     e = spark.createDataFrame([("q", "d", 1, 1.0), ("q", "e", 0, 0.5)], "query_id string, docid string, final_label int, final_confidence double")
     g = spark.createDataFrame([("q", "d", 1), ("q", "d", 1), ("q", "d", 2), ("q", "x", 0)], "query_id string, docid string, gold_relevance bigint")

@@ -135,6 +135,16 @@ def last_wins(spark, sf):
     return joins.last_wins(docs, "docid")
 
 
+@query
+def last_wins_ties(spark, sf):
+    """Orders that repeat and are null: the greatest row of a key by (order, columns) stays."""
+    d = F.col("doc_id")
+    docs = t.table(spark, sf, "documents").select(
+        F.expr("nullif(doc_id div 7, 3)").alias("docid"), F.col("text").alias("doc"), "lang", F.when(d % 4 > 0, d % 3).alias("line_no")
+    )
+    return joins.last_wins(docs.unionByName(docs.where(d % 5 == 0)), "docid")
+
+
 @query
 def to_canonical_sample(spark, sf):
     c = samples.to_canonical_sample(_samples(spark, sf))

@@ -159,6 +159,9 @@ ORACLE: dict[str, str] = {
     "ingest_summary": f"WITH {S} SELECT count(*) AS sample_count FROM s",
     "last_wins": """SELECT CAST(doc_id // 3 AS VARCHAR) AS docid, arg_max(text, doc_id) AS doc, max(doc_id) AS line_no
       FROM documents GROUP BY doc_id // 3""",
+    "last_wins_ties": """WITH x AS (SELECT nullif(doc_id // 7, 3) AS docid, text AS doc, lang, CASE WHEN doc_id % 4 > 0 THEN doc_id % 3 END AS line_no FROM documents),
+      o AS (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY line_no DESC NULLS LAST, doc DESC NULLS LAST, lang DESC NULLS LAST) AS rn FROM x)
+      SELECT docid, doc, lang, line_no FROM o WHERE rn = 1""",
     "to_canonical_sample": f"""WITH {S} SELECT query_id || ':' || docid AS sample_id, query_text AS query, doc AS candidate,
       CASE gold_relevance WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'partially' WHEN 2 THEN 'relevant' END AS gold_label,
       dataset AS domain, length(doc) AS length FROM s""",
