@@ -131,5 +131,4 @@ def judge_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `df` that the rules keep, with the columns of `df`; cases are decided as in `judge_quality`."""
-    judged = judge_quality(df, text, rules).select("row", "kept")
-    return evaluated(judged).where("kept").select("row.*")
+    return evaluated(judge_quality(df, text, rules)).where("kept").select("row.*")
