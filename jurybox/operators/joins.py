@@ -11,14 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot if it holds more than 1/HOT_SHARE of all rows, so there are fewer
 # than HOT_SHARE hot keys however large the input is; that bounds the broadcast
 # of hot keys and the number of repeated lookup rows (at most 2 * HOT_SHARE).
 HOT_SHARE = 1000
-HOT_MIN_ROWS = 100_000
+# Counters of the sketch that finds them: its error is 3.5 / HOT_TRACKED of the rows, far below a share.
+HOT_TRACKED = 16_384
+# A key is left whole while what the join makes of it, its rows with the lookup row's bytes, stays below this.
+HOT_BYTES = 8 << 20
+ROW_BYTES = 100  # of a lookup row where the caller names no other size
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -32,20 +36,28 @@ def fits_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= int(conf.autoBroadcastJoinThreshold())
 
 
+def key_hash(on: Sequence[str]) -> Column:
+    """A key as one number. Keys that share it are spread together, which costs copies but changes no result."""
+    return F.xxhash64(*on)
+
+
 def hot_keys(
-    df: DataFrame, on: Sequence[str], share: int | None = None, min_rows: int | None = None
+    df: DataFrame, on: Sequence[str], share: int | None = None, min_rows: int | None = None, row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
-    """Keys with more than 1/share of the rows, with the number of parts to make.
+    """(_hot, _parts): hashes of the keys with more than 1/share of the rows, and the number of parts to make.
 
-    Counts are combined on the map side, so a hot key costs one row per task.
+    One pass over the keys: a sketch of frequent items, merged from one of fixed size per task, gives the
+    keys and their counts; no key is shuffled. Keys of fewer than `min_rows` rows (default: HOT_BYTES over
+    `row_bytes`) stay whole.
     """
-    share, min_rows = share or HOT_SHARE, HOT_MIN_ROWS if min_rows is None else min_rows
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.least(F.lit(share), F.greatest(F.lit(2), F.ceil(F.col("_n") * share / total))).cast("int")
-    return counts.where((F.col("_n") > total / share) & (F.col("_n") > min_rows)).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in on], parts.alias("_parts")
-    )
+    share = share or HOT_SHARE
+    min_rows = max(1, HOT_BYTES // row_bytes) if min_rows is None else min_rows
+    keys = df.select(key_hash(on).alias("_h"))
+    found = keys.agg(F.count(F.lit(1)).alias("_total"), F.expr(f"approx_top_k(_h, {share}, {max(HOT_TRACKED, 16 * share)})").alias("_top"))
+    each = found.select("_total", F.inline("_top"))
+    parts = F.least(F.lit(share), F.greatest(F.lit(2), F.ceil(F.col("count") * share / F.col("_total")))).cast("int")
+    return each.where((F.col("count") > F.col("_total") / share) & (F.col("count") > min_rows)).select(
+        F.col("item").alias("_hot"), parts.alias("_parts"))
 
 
 def lookup_join(
@@ -58,6 +70,8 @@ def lookup_join(
     min_rows: int | None = None,
     salted: bool | None = None,
     hot: DataFrame | None = None,
+    hot_on: Sequence[str] | None = None,
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """Join `left` to `right`, whose key `on` is unique.
 
@@ -66,7 +80,8 @@ def lookup_join(
     row itself, so a task run again after a lost executor makes the same split.
     Rows equal in all `spread_by` columns stay together: give a column that is
     unique per row, such as line_no. `hot` is the result of `hot_keys` where the
-    caller has it; any bounded set of keys keeps the result right.
+    caller has it, over the columns `hot_on` (default: `on`); any bounded set of keys
+    keeps the result right. `row_bytes` is about the size of a lookup row.
     """
     on = [on] if isinstance(on, str) else list(on)
     if salted is None:
@@ -74,12 +89,11 @@ def lookup_join(
     if not salted:
         return left.join(right, on, how)
 
-    hot = F.broadcast(hot_keys(left, on, share, min_rows) if hot is None else hot)
+    hot = F.broadcast(hot_keys(left, on, share, min_rows, row_bytes) if hot is None else hot)
 
     def with_parts(df: DataFrame) -> DataFrame:
-        # Null-safe, because null keys of an outer join can be hot as well.
-        match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in on]
-        return df.join(hot, match, "left").select(*df.columns, "_parts")
+        # By hash, which null keys of an outer join have as well.
+        return df.join(hot, key_hash(hot_on or on) == F.col("_hot"), "left").select(*df.columns, "_parts")
 
     spread = F.xxhash64(*(spread_by or left.columns))
     salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(

@@ -10,6 +10,7 @@ from jurybox.operators.joins import fits_broadcast, hot_keys, last_wins, lookup_
 from jurybox.operators.order import smallest
 from jurybox.sources.parsers import DATASET
 
+TEXT_BYTES = 4096  # about a document's text, which a join repeats for each of its qrels
 
 def build_samples(
     qrels: DataFrame, queries: DataFrame, documents: DataFrame, salted: bool | None = None
@@ -28,13 +29,9 @@ def build_samples(
     if salted:
         winners = documents.groupBy("docid").agg(F.max("line_no").alias("_line"))
         by_line = documents.select("docid", F.col("line_no").alias("_line"), "doc")
-        hot = hot_keys(qrels, ["docid"])
-        # Fewer than HOT_SHARE rows, like `hot` itself: the same documents by line.
-        hot_lines = winners.join(F.broadcast(hot), F.col("docid") == F.col("_hot_docid")).select(
-            "_hot_docid", F.col("_line").alias("_hot__line"), "_parts"
-        )
+        hot = hot_keys(qrels, ["docid"], row_bytes=TEXT_BYTES)
         keyed = lookup_join(keyed, winners, "docid", spread_by=["line_no"], salted=True, hot=hot)
-        joined = lookup_join(keyed, by_line, ["docid", "_line"], spread_by=["line_no"], salted=True, hot=hot_lines)
+        joined = lookup_join(keyed, by_line, ["docid", "_line"], spread_by=["line_no"], salted=True, hot=hot, hot_on=["docid"])
     else:
         joined = lookup_join(keyed, last_wins(documents, "docid").select("docid", "doc"), "docid", salted=False)
     return joined.select(

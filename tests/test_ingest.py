@@ -194,7 +194,8 @@ def test_one_key_with_a_third_of_all_rows(spark):
     right = spark.range(15_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).union(
         spark.createDataFrame([("hot", -1)], "k string, v bigint")
     )
-    hot = {r["_hot_k"]: r["_parts"] for r in joins.hot_keys(left, ["k"], min_rows=100).collect()}
+    names = {r["h"]: r["k"] for r in left.select("k", joins.key_hash(["k"]).alias("h")).distinct().collect()}
+    hot = {names[r["_hot"]]: r["_parts"] for r in joins.hot_keys(left, ["k"], min_rows=100).collect()}
     assert set(hot) == {"hot", None} and hot["hot"] > 300
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = left.join(right, "k", how)
@@ -220,7 +221,7 @@ def test_same_result_for_any_partitioning(spark, lines):
 
 def test_hot_query_and_document(spark, monkeypatch):
     """One query and one document hold a third of all qrels; their rows reach many tasks."""
-    monkeypatch.setattr(joins, "HOT_MIN_ROWS", 100)
+    monkeypatch.setattr(joins, "HOT_BYTES", 100 * 4096)
     n = F.col("line_no")
     qrels = spark.range(1, 6001).select(F.col("id").alias("line_no")).select(
         n,
@@ -235,7 +236,23 @@ def test_hot_query_and_document(spark, monkeypatch):
     spread = samples.build_samples(qrels, queries, documents, salted=True)
     assert plain.count() > 4000
     assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
-    assert {r["_hot_docid"] for r in joins.hot_keys(qrels, ["docid"]).collect()} == {"d0"}
+    hot = joins.hot_keys(qrels, ["docid"], row_bytes=4096).join(qrels.select("docid", joins.key_hash(["docid"]).alias("_hot")).distinct(), "_hot")
+    assert {r["docid"] for r in hot.collect()} == {"d0"}
+
+
+def test_a_key_below_a_hundred_thousand_rows_is_spread(spark):
+    qrels = spark.range(60_000).select(F.col("id").alias("line_no"), F.lit("q").alias("query_id"), F.lit(1).cast("bigint").alias("relevance"),
+                                       F.when(F.col("id") < 50_000, "hot").otherwise(F.concat(F.lit("d"), F.col("id"))).alias("docid"))
+    queries = spark.createDataFrame([("q", "text", 1)], "query_id string, query_text string, line_no bigint")
+    documents = qrels.select("docid").distinct().select("docid", F.when(F.col("docid") == "hot", F.repeat(F.lit("x"), F.lit(20_000))).otherwise("y").alias("doc"),
+                                                        F.xxhash64("docid").alias("line_no"))
+    assert [r["_parts"] for r in joins.hot_keys(qrels, ["docid"], row_bytes=samples.TEXT_BYTES).collect()] == [834]
+    plain, spread = (samples.build_samples(qrels, queries, documents, salted=s).select("line_no", "docid", F.length("doc").alias("n")) for s in (False, True))
+    totals = [df.agg(F.count("*"), F.sum("n"), F.sum(F.xxhash64("line_no", "docid", "n").cast("decimal(38,0)"))).first() for df in (plain, spread)]
+    assert totals[0] == totals[1] and totals[0][0] == 60_000
+    sizes = joins.lookup_join(qrels, documents, "docid", spread_by=["line_no"], salted=True, row_bytes=samples.TEXT_BYTES).withColumn(
+        "p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert max(r["count"] for r in sizes) < 40_000
 
 
 def test_last_wins_with_repeated_and_null_orders(spark):
