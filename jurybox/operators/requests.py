@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurybox.functions.answers import parser
 from jurybox.operators.joins import lookup_join
+from jurybox.sources.cache import answered, may_be_stored, read_cache
 from jurybox.sources.registry import (
     MAX_TOKENS, PROVIDERS, TEMPERATURE, TIMEOUT_SECONDS, ModelSpec, check_panel,
 )
@@ -84,11 +85,6 @@ def build_requests(prompts: DataFrame, timeout: int = TIMEOUT_SECONDS) -> DataFr
 CACHE_KEY = ["model_id", "prompt_sha256"]
 
 
-def answered(judged: DataFrame) -> DataFrame:
-    """The rows of an earlier judgements table that hold an answer; a table of keys alone lists answered ones."""
-    return judged if "raw_text" not in judged.columns else judged.where(F.col("raw_text").isNotNull())
-
-
 def hash_prompts(prompts: DataFrame) -> DataFrame:
     """Add `prompt_sha256`. A prompt does not depend on the model, so hash before `fan_out`."""
     return prompts.withColumn("prompt_sha256", F.sha2("prompt", 256))
@@ -111,6 +107,20 @@ def split_panel(
     return marked.withColumns({"cached": F.array_intersect(panel, known), "to_ask": F.array_except(panel, known)}).drop("_answered")
 
 
+def split_stored(prompts: DataFrame, table: str, models: Sequence[ModelSpec]) -> DataFrame:
+    """`split_panel` against a table of `write_cache`: no stored row is shuffled, and no text that can't be in it.
+
+    Prompts unknown to the table's filter are asked of the whole panel where they are; the others meet
+    the table bucket by bucket.
+    """
+    spark = prompts.sparkSession
+    panel = F.array(*[F.lit(m.model_id) for m in check_panel(models)])
+    marked = prompts.withColumn("_known", may_be_stored(spark, table))
+    met = split_panel(marked.where("_known").drop("_known"), read_cache(spark, table), models, salted=False)
+    new = marked.where("NOT _known").drop("_known").withColumns({"cached": F.array().cast("array<string>"), "to_ask": panel})
+    return met.unionByName(new)
+
+
 def mark_cached(requests: DataFrame, judged: DataFrame, salted: bool | None = None) -> DataFrame:
     """Add `cache_hit`: whether the same model has answered the same prompt before.
 
@@ -171,13 +181,13 @@ def by_provider(factories: dict[str, Callable[[], Completer]]) -> Callable[[], C
 _JUDGED = "raw_text string, version string, latency_ms double, retries int, cost_estimate double"
 
 
-# Rows of a task that asks, and calls it keeps waiting at once.
-ROWS_PER_TASK = 2_000
+# Calls a task keeps waiting at once.
 CONCURRENT_CALLS = 8
 
 
 def judge(
     requests: DataFrame, completer_factory: Callable[[], Completer], partitions: int | None = None, concurrent: int = 1,
+    per_second: float | None = None,
 ) -> DataFrame:
     """Ask the model for every request; one completer per partition.
 
@@ -189,8 +199,7 @@ def judge(
 
     Calls wait on the model, so the rows are spread evenly over `partitions`
     tasks, whatever the partitioning of the joins before: by default four per
-    core; `judge_slices` chooses as many as ROWS_PER_TASK asks for; 0 leaves the
-    rows where they are. `concurrent` calls of a task wait at once (the completer
+    core; 0 leaves the rows where they are. `concurrent` calls of a task wait at once (the completer
     must then be safe in threads); rows keep their order.
     """
     kept = [c for c in requests.columns if c != "request"]
@@ -203,13 +212,27 @@ def judge(
         # By the row's own values: a task run again gets the same rows.
         requests = requests.repartition(partitions, *[c for c in ("line_no", *PAIR, "model_id") if c in kept])
 
+    at_once = requests.sparkSession.sparkContext.defaultParallelism
+    spacing = (min(partitions, at_once) if partitions else at_once) / per_second if per_second else 0.0
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
         from concurrent.futures import ThreadPoolExecutor
+        from threading import Lock
 
         complete = completer_factory()
+        turn, free_at = Lock(), [time.perf_counter()]
+
+        def wait() -> None:
+            with turn:
+                now = time.perf_counter()
+                begin = max(now, free_at[0])
+                free_at[0] = begin + spacing
+            time.sleep(begin - now)
 
         def one(request: Any) -> Completion:
+            if spacing:
+                wait()
             begin = time.perf_counter()
             answer = complete(request.asDict(True) if hasattr(request, "asDict") else request)
             spent = (time.perf_counter() - begin) * 1000.0
@@ -221,34 +244,39 @@ def judge(
                 "cost_estimate": answer.get("cost_estimate"),
             }
 
-        for batch in batches:
-            if concurrent > 1:
-                with ThreadPoolExecutor(concurrent) as pool:
-                    rows = list(pool.map(one, batch["request"]))
-            else:
-                rows = [one(request) for request in batch["request"]]
-            answers = pd.DataFrame(
-                rows, columns=["raw_text", "version", "latency_ms", "retries", "cost_estimate"], index=batch.index
-            )
-            yield pd.concat([batch[kept], answers], axis=1)
+        with ThreadPoolExecutor(concurrent) as pool:
+            for batch in batches:
+                rows = list(pool.map(one, batch["request"]) if concurrent > 1 else map(one, batch["request"]))
+                answers = pd.DataFrame(
+                    rows, columns=["raw_text", "version", "latency_ms", "retries", "cost_estimate"], index=batch.index
+                )
+                yield pd.concat([batch[kept], answers], axis=1)
 
     return requests.mapInPandas(ask, f"{schema}, {_JUDGED}")
 
 
+def slice_of(columns: Sequence[str], slices: int) -> Column:
+    """Which of the slices a request belongs to, by a hash of its own key."""
+    key = [c for c in ("line_no", *PAIR, "model_id") if c in columns]
+    return F.pmod(F.xxhash64(*key), F.lit(slices))
+
+
 def judge_slices(
     requests: DataFrame, completer_factory: Callable[[], Completer], write: Callable[[DataFrame, int], DataFrame],
-    total: int, slices: int = 1, concurrent: int = CONCURRENT_CALLS,
+    slices: int = 1, partitions: int | None = None, concurrent: int = CONCURRENT_CALLS, per_second: float | None = None,
+    finished: Mapping[int, DataFrame] | None = None,
 ) -> list[DataFrame]:
     """`judge` in slices, each written by `write(rows, number)` before the next is asked.
 
-    Requests are dealt by a hash of their own key. When a slice fails, those before it are
-    stored: a rerun with them as `judged` asks only what is missing. `total` is the number
-    of requests, known from their keys; it sets the number of tasks.
+    Requests are dealt by `slice_of`, so a rerun deals them alike. `finished` holds the slices an earlier
+    attempt has written: they are taken as they are, and nothing of them is asked again.
     """
-    key = [c for c in ("line_no", *PAIR, "model_id") if c in requests.columns]
-    part = F.pmod(F.xxhash64(*key), F.lit(slices))
-    tasks = max(1, -(-total // (slices * ROWS_PER_TASK)), min(total, requests.sparkSession.sparkContext.defaultParallelism))
-    return [write(judge(requests.where(part == k), completer_factory, tasks, concurrent), k) for k in range(slices)]
+    part = slice_of(requests.columns, slices)
+    done = dict(finished or {})
+    for k in range(slices):
+        if k not in done:
+            done[k] = write(judge(requests.where(part == k), completer_factory, partitions, concurrent, per_second), k)
+    return [done[k] for k in range(slices)]
 
 
 def judge_offline(requests: DataFrame, completions: DataFrame, salted: bool | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from jurybox.operators.votes import STRATEGIES
 from jurybox.sources.parsers import ADAPTERS, check, resolve_dataset, split_marked
 from jurybox.sources.registry import MODELS, WEIGHTS, ModelSpec, models_df
 from jurybox.sources.sinks import (
-    append_manifest, run_path, write_head, write_metrics, write_run_parquet,
+    SliceLog, append_manifest, run_path, write_head, write_metrics, write_run_parquet,
 )
 
 HEAD_ROWS = 20
@@ -75,13 +75,15 @@ def infer(
     spark: SparkSession, samples: DataFrame, base: str, run_id: str, models: Sequence[ModelSpec] = MODELS,
     prompt_name: str = "thomas-et-al-prompt", variables: Mapping[str, Any] | None = None,
     completer_factory: Callable[[], rq.Completer] | None = None, completions: DataFrame | None = None,
-    judged: DataFrame | None = None, limit: int | None = None, partitions: int | None = None, concurrent: int = 1,
-    git: Mapping[str, Any] | None = None,
+    judged: DataFrame | str | None = None, limit: int | None = None, partitions: int | None = None, concurrent: int = 1,
+    git: Mapping[str, Any] | None = None, slices: int = 1, per_second: float | None = None,
 ) -> RunResult:
     """Judge samples with a panel; `judgements.parquet` by model and the manifest.
 
-    Answers come from `completer_factory` or the table `completions`; prompts
-    found in `judged`, an earlier judgements table, are not asked again.
+    Answers come from `completer_factory` or the table `completions`; prompts found in `judged`, an
+    earlier judgements table or the name of a table of `write_cache`, are not asked again. Raw answers
+    are written slice by slice under `answers/`, each with a commit record. A run that failed is called
+    again with the same run_id and arguments: it asks nothing of the slices that have a record.
     """
     if (completer_factory is None) == (completions is None):
         raise ValueError("give either completer_factory or completions")
@@ -93,7 +95,10 @@ def infer(
     if judged is None:
         asked = rq.fan_out(prompts, models)
     else:
-        marked = rq.split_panel(prompts, judged, models)
+        if isinstance(judged, str):
+            marked, judged = rq.split_stored(prompts, judged, models), spark.table(judged)
+        else:
+            marked = rq.split_panel(prompts, judged, models)
         asked = marked.withColumn("model_id", F.explode("to_ask")).drop("cached", "to_ask")
         order = [c for c in ("line_no",) if c in prompts.columns]
         hits = marked.select(*order, "query_id", "docid", "prompt_sha256", F.explode("cached").alias("model_id"))
@@ -105,7 +110,11 @@ def infer(
     if completions is not None:
         answered.append(rq.judge_offline(requests, completions))
     else:
-        answered.append(rq.judge(requests, completer_factory, partitions, concurrent))
+        log = SliceLog(spark, f"{run_path(base, 'infer', run_id)}/answers", slices, {
+            "prompt": prompt_name, "variables": str(sorted((variables or {}).items())), "limit": limit,
+            "models": json.dumps([asdict(m) for m in models], sort_keys=True)})
+        answered += rq.judge_slices(
+            requests, completer_factory, log.write, slices, partitions, concurrent, per_second, log.finished())
     raw = answered[0]
     for more in answered[1:]:
         raw = raw.unionByName(more, allowMissingColumns=True)

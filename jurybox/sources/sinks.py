@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +85,49 @@ def append_manifest(
     body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     row.select(body.alias("value")).coalesce(1).write.mode(mode).text(path)
     return path
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order, by the file system the path belongs to; none if it is not there."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(status.getPath().getName() for status in files.listStatus(folder)) if files.exists(folder) else []
+
+
+@dataclass(frozen=True)
+class SliceLog:
+    """Slices of a long job as tables of their own, and a record of each that is written whole.
+
+    The record is written after its slice, so a slice without one is written anew. It holds what the job
+    was asked to do: a rerun that asks for something else is refused, it would mix the two.
+    """
+
+    spark: SparkSession
+    root: str
+    slices: int
+    task: Mapping[str, Any]
+
+    def _path(self, number: int) -> str:
+        return f"{self.root}/slice-{number:05d}.parquet"
+
+    def _record(self) -> str:
+        return json.dumps({"slices": self.slices, **self.task}, sort_keys=True)
+
+    def finished(self) -> dict[int, DataFrame]:
+        """The slices that have a record, by number."""
+        names = [n for n in children(self.spark, f"{self.root}/commits") if n.isdigit()]
+        names = [n for n in names if "_SUCCESS" in children(self.spark, f"{self.root}/commits/{n}")]
+        if not names:
+            return {}
+        records = self.spark.read.text([f"{self.root}/commits/{n}" for n in names])
+        if {r["value"] for r in records.collect()} != {self._record()}:
+            raise ValueError(f"The finished slices under {self.root} belong to a run with other settings")
+        return {int(n): self.spark.read.parquet(self._path(int(n))) for n in names}
+
+    def write(self, rows: DataFrame, number: int) -> DataFrame:
+        """Write a slice, then its record."""
+        rows.write.mode("overwrite").parquet(self._path(number))
+        record = self.spark.range(1).select(F.lit(self._record()).alias("value"))
+        record.coalesce(1).write.mode("overwrite").text(f"{self.root}/commits/{number}")
+        return self.spark.read.parquet(self._path(number))

@@ -1,11 +1,14 @@
 """Fan-out, model settings, requests, cache, judging, validation."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from jurybox import plans
 from jurybox.functions import prompts
 from jurybox.operators import requests as rq
-from jurybox.sources import registry
+from jurybox.sources import cache, registry, sinks
 
 
 @pytest.fixture
@@ -191,7 +194,7 @@ def test_slices_before_a_failure_are_kept(asked, tmp_path, spark):
         written.append(path)
         return spark.read.parquet(path)
 
-    parts = rq.judge_slices(asked, factory, write, total, slices=2, concurrent=3)
+    parts = rq.judge_slices(asked, factory, write, slices=2, concurrent=3)
     assert sum(p.count() for p in parts) == total and len(written) == 2
 
     def failing():
@@ -201,7 +204,7 @@ def test_slices_before_a_failure_are_kept(asked, tmp_path, spark):
         return complete
 
     with pytest.raises(Exception, match="late"):
-        rq.judge_slices(asked, failing, write, total, slices=2)
+        rq.judge_slices(asked, failing, write, slices=2)
     stored = spark.read.parquet(written[0])
     assert rq.cache_split(asked, stored)[1].count() == total - stored.count()
 
@@ -218,3 +221,90 @@ def test_concurrent_calls_keep_order(asked):
 
     rows = rq.judge(asked, factory, partitions=1, concurrent=4).collect()
     assert len(rows) == asked.count() and all(r["raw_text"] == r["provider_model"] for r in rows)
+
+
+@pytest.fixture
+def stored(spark, asked):
+    """A bucketed table that answers the prompts of the first and last sample for two models."""
+    judged = asked.where("line_no <> 2 AND model_id IN ('phi3-mini', 'qwen-0.5b')").select(
+        "model_id", "prompt_sha256", "query_id", "docid", F.lit('{"O": 1}').alias("raw_text"), F.lit("r1").alias("run_id"))
+    more = judged.limit(1).withColumn("raw_text", F.lit(None).cast("string")).withColumn("model_id", F.lit("tinyllama"))
+    cache.write_cache(judged.union(more), "answers", buckets=4)
+    yield "answers"
+    for table in ("answers", "answers_prompts"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_stored_side_is_not_shuffled(spark, asked, stored):
+    prompts_ = asked.select("line_no", "query_id", "docid", "prompt_sha256").distinct()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = rq.split_panel(prompts_, cache.read_cache(spark, stored), registry.MODELS, salted=False)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("ObjectHashAggregate(keys=[prompt_sha256"):] if "ObjectHashAggregate(keys=[prompt_sha256" in plan else ""
+        assert side and "Bucketed: true" in side and "Exchange" not in side
+        both = [rq.split_stored(prompts_, stored, registry.MODELS), rq.split_panel(prompts_, spark.table(stored), registry.MODELS)]
+        got = [sorted((r["line_no"], tuple(sorted(r["cached"])), tuple(sorted(r["to_ask"]))) for r in df.collect()) for df in both]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got[0] == got[1] and [g[1] for g in got[0]] == [("phi3-mini", "qwen-0.5b"), (), ("phi3-mini", "qwen-0.5b")]
+
+
+def test_filter_forgets_no_prompt(spark):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("prompt_sha256"), F.lit("m").alias("model_id"), "id")
+    cache.write_cache(rows.where("id < 10000"), "many", buckets=4)
+    try:
+        known = rows.withColumn("known", cache.may_be_stored(spark, "many")).groupBy("known", F.col("id") < 10_000).count().collect()
+        counts = {(r[0], r[1]): r["count"] for r in known}
+        assert (False, True) not in counts and counts[(True, True)] == 10_000 and counts.get((True, False), 0) < 500
+        cache.write_cache(rows.where("id >= 15000"), "many", buckets=4, mode="append")
+        assert rows.where("id >= 15000").where(cache.may_be_stored(spark, "many")).count() == 5_000
+        odd = spark.createDataFrame([(None,), ("",), ("short",)], "prompt_sha256 string")
+        assert odd.where(cache.may_be_stored(spark, "many")).count() <= 3
+        cache.write_cache(rows.limit(0), "many", buckets=4)
+        assert rows.where(cache.may_be_stored(spark, "many")).count() == 0
+    finally:
+        for table in ("many", "many_prompts"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_one_rate_for_all_tasks(asked):
+    def factory():
+        return lambda request: {"raw_text": str(time.time())}
+
+    times = sorted(float(r["raw_text"]) for r in rq.judge(asked, factory, partitions=3, concurrent=4, per_second=20.0).collect())
+    assert len(times) == 12 and times[-1] - times[0] >= (12 / 3 - 2) * 3 / 20
+
+
+def test_infer_goes_on_after_a_failed_slice(spark, tmp_path):
+    samples = spark.createDataFrame(
+        [(i, "llm-judge-2024", f"q{i}", "text", f"d{i}", f"body{i}x", 1) for i in range(30)],
+        "line_no bigint, dataset string, query_id string, query_text string, docid string, doc string, gold_relevance bigint")
+    models, base, slices = registry.MODELS[:2], str(tmp_path / "base"), 3
+    keyed = rq.fan_out(samples, models)
+    parts = {}
+    for r in keyed.select("line_no", rq.slice_of(keyed.columns, slices).alias("part")).collect():
+        parts.setdefault(r["line_no"], set()).add(r["part"])
+    in_second = [i for i, p in parts.items() if 1 in p and 0 not in p]
+    in_first = [i for i, p in parts.items() if p == {0}]
+    assert in_second and in_first
+
+    def refusing(numbers):
+        def factory():
+            def complete(request):
+                if any(f"body{i}x" in request["messages"][0]["content"] for i in numbers):
+                    raise RuntimeError("refused")
+                return {"raw_text": '{"O": 2}', "cost_estimate": 1.0}
+
+            return complete
+
+        return factory
+
+    with pytest.raises(Exception, match="refused"):
+        plans.infer(spark, samples, base, "r", models, completer_factory=refusing(in_second), slices=slices)
+    assert sinks.children(spark, f"{base}/runs/infer/r/answers/commits") == ["0"]
+    again = plans.infer(spark, samples, base, "r", models, completer_factory=refusing(in_first), slices=slices)
+    assert again.table.count() == 60 and again.table.where("label = 2").count() == 60
+    with pytest.raises(ValueError, match="other settings"):
+        sinks.SliceLog(spark, f"{base}/runs/infer/r/answers", 4, {}).finished()
