@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jurybox.operators.order import percentiles
@@ -108,15 +108,26 @@ def problem_summary(judgements: DataFrame, by: Sequence[str] = ("run_id",)) -> D
     )
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    """A row as one text that no other row has: each column's bytes with their number before them, N for null."""
+    as_text = [F.col(f"`{c}`").cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.lit("V"), F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("N")) for t in as_text]
+    return F.concat(*parts)
+
+
 def dataset_checksum(df: DataFrame) -> DataFrame:
-    """Row count and a sum of row hashes: the same whatever the order of rows."""
-    row = F.xxhash64(*df.columns).cast("decimal(28,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row), F.lit(0)).cast("decimal(38,0)").alias("checksum")
-    )
+    """(n_rows, checksum): the sum modulo 2^64 of the first 64 bits of every row's MD5.
+
+    The same whatever the order of rows; a repeated row counts as often as it comes, null is not the
+    empty text. Any engine that has MD5 can compute it from `row_text`; columns are cast to text, so
+    fractions should be decimals or rounded first.
+    """
+    digits = F.conv(F.left(F.md5(row_text(df.columns).cast("binary")), F.lit(16)), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(digits), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), (total % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").alias("checksum"))
 
 
 def list_runs(manifests: DataFrame, stage: str | None = None) -> DataFrame:
-    """Run ids, newest first; one row per run of each stage."""
+    """Run ids, newest first; one row per run of each stage. Takes `read_runs` or `read_manifests`."""
     runs = manifests if stage is None else manifests.where(F.col("cli_name") == stage)
     return runs.select("cli_name", "run_id").distinct().select("run_id").orderBy(F.desc("run_id"))

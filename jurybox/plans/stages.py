@@ -22,10 +22,10 @@ from jurybox.operators import samples as sm
 from jurybox.operators import scores as sc
 from jurybox.operators import telemetry as tm
 from jurybox.operators.votes import STRATEGIES
-from jurybox.sources.parsers import ADAPTERS, check, resolve_dataset, split_marked
+from jurybox.sources.parsers import ADAPTERS, Rejects, resolve_dataset, split_marked
 from jurybox.sources.registry import MODELS, WEIGHTS, ModelSpec, models_df
 from jurybox.sources.sinks import (
-    SliceLog, append_manifest, run_path, write_head, write_metrics, write_run_parquet,
+    SliceLog, append_manifest, run_path, write_head, write_judgements, write_metrics, write_run_parquet, write_samples,
 )
 
 HEAD_ROWS = 20
@@ -41,26 +41,33 @@ class RunResult:
 
 def ingest(
     spark: SparkSession, data_dir: str, base: str, run_id: str, dataset: str = "llm-judge",
-    limit: int | None = None, strict: bool = True, git: Mapping[str, Any] | None = None,
+    limit: int | None = None, strict: bool = True, git: Mapping[str, Any] | None = None, ndjson: bool = True,
 ) -> RunResult:
-    """Read and join the raw files; `samples.parquet`, a preview and the manifest."""
+    """Read and join the raw files; `samples.parquet`, `samples.ndjson` in the order of the qrels, a preview and the manifest.
+
+    Rejected lines are counted while the parsed tables are written; the manifest says how many there were
+    of each. With `strict` the first one, by number, is an error.
+    """
     key = dataset.lower().strip()
     if key not in ADAPTERS:
         resolve_dataset(key)  # raises
     # The raw text is parsed once; what follows reads columns of the written tables.
-    parsed = {}
+    parsed, rejected = {}, {}
     for name, marked in ADAPTERS[key](spark, data_dir).items():
-        path = write_run_parquet(marked, base, "ingest", run_id, f"parsed/{name}")
-        parsed[name], rejects = split_marked(spark.read.parquet(path), name)
-        check(rejects, strict)
+        rejects, counted = Rejects.of(marked)
+        path = write_run_parquet(counted, base, "ingest", run_id, f"parsed/{name}")
+        rejected[name] = rejects.check(strict)
+        parsed[name] = split_marked(spark.read.parquet(path), name)[0]
     qrels, queries, documents = (parsed[t] for t in ("qrels", "queries", "documents"))
     samples = sm.build_samples(qrels, queries, documents)
     if limit is not None:
         samples = sm.limit_samples(samples, limit)
     path = write_run_parquet(samples, base, "ingest", run_id, "samples")
     written = spark.read.parquet(path)
+    if ndjson:
+        write_samples(written, f"{run_path(base, 'ingest', run_id)}/samples.ndjson")
     write_head(written, f"{run_path(base, 'ingest', run_id)}/samples.head.jsonl", HEAD_ROWS, "line_no")
-    summary = sm.ingest_summary(written)
+    summary = sm.ingest_summary(written).withColumns({f"rejected_{name}": F.lit(n) for name, n in rejected.items()})
     if limit is None:  # the skip counts are known only when all qrels were read
         missing = sm.missing_counts(qrels, queries, documents).first()
         summary = summary.withColumns({k: F.lit(v) for k, v in missing.asDict().items()})
@@ -77,8 +84,9 @@ def infer(
     completer_factory: Callable[[], rq.Completer] | None = None, completions: DataFrame | None = None,
     judged: DataFrame | str | None = None, limit: int | None = None, partitions: int | None = None, concurrent: int = 1,
     git: Mapping[str, Any] | None = None, slices: int = 1, per_second: float | None = None,
+    ndjson: bool = True,
 ) -> RunResult:
-    """Judge samples with a panel; `judgements.parquet` by model and the manifest.
+    """Judge samples with a panel; `judgements.parquet` by model, `judgements.ndjson` in sample order and the manifest.
 
     Answers come from `completer_factory` or the table `completions`; prompts found in `judged`, an
     earlier judgements table or the name of a table of `write_cache`, are not asked again. Raw answers
@@ -124,6 +132,8 @@ def infer(
     path = write_run_parquet(rows, base, "infer", run_id, "judgements", ["model_id"])
     written = spark.read.parquet(path)
     good, rejected = rq.validate_judgements(written)
+    if ndjson:
+        write_judgements(good, f"{run_path(base, 'infer', run_id)}/judgements.ndjson")
     summary = rq.infer_summary(good).withColumns({
         "rejected_count": rejected.agg(F.count(F.lit(1))).scalar(),
         "prompt_template": F.lit(prompt_name),

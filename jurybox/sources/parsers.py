@@ -9,8 +9,9 @@ writes the marked table once and splits what it wrote; see the ingest stage.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jurybox.functions.text import blank, split_words, strip, to_bigint
@@ -135,6 +136,32 @@ def check(rejects: DataFrame, strict: bool = True) -> DataFrame:
     return rejects
 
 
+@dataclass(frozen=True)
+class Rejects:
+    """Counts the rejects of a marked table while it is written, without reading it again."""
+
+    seen: Observation
+
+    @classmethod
+    def of(cls, marked: DataFrame) -> tuple[Rejects, DataFrame]:
+        """The counter and the table to write; the counts are there once that is done."""
+        seen = Observation()
+        bad = F.col("reason").isNotNull()
+        first = F.min_by(F.when(bad, F.struct("reason", "line_no", "raw")), F.when(bad, F.col("line_no")))
+        return cls(seen), marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("rejects"), first.alias("first"))
+
+    @property
+    def count(self) -> int:
+        return self.seen.get["rejects"]
+
+    def check(self, strict: bool = True) -> int:
+        """Raise on the first rejected line, by number, if `strict`; else give the number of rejects."""
+        first = self.seen.get["first"]
+        if strict and first is not None:
+            raise ValueError(f"{first['reason']} at line {first['line_no']}: {first['raw']!r}")
+        return self.count
+
+
 def resolve_dataset(name: str) -> str:
     """Accepted spellings of the dataset name to the one the samples carry."""
     if name.lower().strip() not in DATASET_NAMES:

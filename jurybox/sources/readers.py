@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from jurybox.sources.lines import read_lines
 from jurybox.sources.parsers import (
     DATASET, Parsed, check, is_text, json_object, mark, parsed_lines, split_marked, variant_text,
 )
+from jurybox.sources.sinks import children
 
 
 def parse_samples(lines: DataFrame) -> Parsed:
@@ -153,3 +155,25 @@ def read_manifests(
     return files.select(
         F.from_json("value", _raw_times(schemas.MANIFESTS)).alias("_m"), F.try_parse_json("value").alias("manifest")
     ).select("_m.*", "manifest").withColumn("timestamp", F.col("timestamp").try_cast("timestamp"))
+
+
+def read_runs(spark: SparkSession, base: str, stage: str | None = None) -> DataFrame:
+    """(cli_name, run_id, finished, manifest): every run folder, by the folder's own names.
+
+    The folders are listed through the file system they are on. A run that ended without a manifest
+    shows with `finished` false; a manifest counts for the folder it lies in, whatever it says.
+    """
+    root = f"{base.rstrip('/')}/runs"
+    stages = children(spark, root) if stage is None else [stage]
+    names = [(s, r) for s in stages for r in children(spark, f"{root}/{s}")]
+    columns = [pa.array(c, pa.string()) for c in (zip(*names) if names else ((), ()))]
+    folders = spark.createDataFrame(pa.table(dict(zip(("cli_name", "run_id"), columns))))
+    if not any("manifest.json" in children(spark, f"{root}/{s}/{r}") for s, r in names):
+        return folders.select("*", F.lit(False).alias("finished"), F.lit(None).cast("variant").alias("manifest"))
+    files = spark.read.text(f"{root}/{stage or '*'}/*/manifest.json", wholetext=True)
+    place = F.split(F.col("_metadata.file_path"), "/")
+    known = files.select(F.col("value"), F.when(F.col("_metadata.file_path").endswith("/manifest.json"), F.lit(2)).otherwise(F.lit(3)).alias("up"), place.alias("p"))
+    known = known.select(F.element_at("p", -1 - F.col("up")).alias("cli_name"), F.element_at("p", -F.col("up")).alias("run_id"),
+                         F.try_parse_json("value").alias("manifest"))
+    return folders.join(known, ["cli_name", "run_id"], "left").select(
+        "cli_name", "run_id", F.col("manifest").isNotNull().alias("finished"), "manifest")

@@ -25,14 +25,14 @@ def write_ndjson(
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "error") -> None:
-    """Samples in the order of their qrels."""
+    """Samples in the order of their qrels: ranges of line numbers become files in order, sorted inside."""
     ordered = "line_no" if "line_no" in samples.columns else None
     write_ndjson(samples, path, ordered, drop=["line_no"], mode=mode)
 
 
 def write_judgements(judgements: DataFrame, path: str, mode: str = "error") -> None:
-    """Judgements in the order of their samples."""
-    ordered = "line_no" if "line_no" in judgements.columns else None
+    """Judgements in the order of their samples, those of one sample by model."""
+    ordered = [c for c in ("line_no", "model_id") if c in judgements.columns] if "line_no" in judgements.columns else None
     write_ndjson(judgements, path, ordered, drop=["line_no"], mode=mode)
 
 

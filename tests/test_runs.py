@@ -132,9 +132,15 @@ def test_four_stages(spark, tmp_path, dataset):
     assert tuple(manifest.first()) == (3, 1, 1)
     assert json.loads(read_lines_of(f"{base}/runs/ingest/run1/samples.head.jsonl")[0])["query_id"] == "q2"
 
+    written = [json.loads(x) for x in read_lines_of(f"{base}/runs/ingest/run1/samples.ndjson")]
+    assert [(r["query_id"], r["docid"]) for r in written] == [("q2", "d2"), ("q1", "d1"), ("q1", "d2")]
+
     models = registry.MODELS[:3]
     inferred = plans.infer(spark, ingested.table, base, "run1", models, completer_factory=counting())
     assert inferred.table.count() == 9 and inferred.table.where("label IS NULL").count() == 0
+    written = [json.loads(x) for x in read_lines_of(f"{base}/runs/infer/run1/judgements.ndjson")]
+    pairs = [("q2", "d2"), ("q1", "d1"), ("q1", "d2")]
+    assert [(r["query_id"], r["docid"], r["model_id"]) for r in written] == [(*p, m) for p in pairs for m in sorted(m.model_id for m in models)]
     again = plans.infer(spark, ingested.table, base, "run2", models, completer_factory=refusing(), judged=inferred.table)
     assert again.table.count() == 9 and again.table.where("cache_hit").count() == 9
 
@@ -166,6 +172,38 @@ def test_stage_errors(spark, tmp_path, dataset):
     with pytest.raises(ValueError, match="Invalid qrel line at line 2"):
         plans.ingest(spark, dataset, base, "bad")
     assert plans.ingest(spark, dataset, base, "lenient", strict=False).table.count() == 1
+    counts = readers.read_manifests(spark, base, "ingest", "lenient").select(
+        *[F.expr(f"variant_get(manifest, '$.rejected_{t}', 'int')") for t in ("queries", "documents", "qrels")])
+    assert tuple(counts.first()) == (0, 0, 1)
+
+
+def test_rejects_are_counted_in_one_scan(spark, tmp_path):
+    from jurybox.sources.parsers import Rejects, mark_qrels
+    from jurybox.sources.lines import read_lines
+
+    (tmp_path / "q.txt").write_text("q 1 d\nq x d\n\nq 1\nq 2 e\n")
+    rejects, counted = Rejects.of(mark_qrels(read_lines(spark, str(tmp_path / "q.txt")).repartition(3)))
+    counted.write.parquet(str(tmp_path / "marked"))
+    assert rejects.check(strict=False) == rejects.count == 2 and spark.read.parquet(str(tmp_path / "marked")).count() == 4
+    with pytest.raises(ValueError, match="Invalid relevance at line 2: 'q x d'"):
+        rejects.check()
+    fine, counted = Rejects.of(mark_qrels(read_lines(spark, str(tmp_path / "q.txt")).limit(1)))
+    counted.write.parquet(str(tmp_path / "fine"))
+    assert fine.check() == 0
+
+
+def test_runs_without_manifest_show(spark, tmp_path):
+    base = str(tmp_path)
+    assert readers.read_runs(spark, base).count() == 0
+    for stage, run in (("ingest", "20250101_000000_a"), ("infer", "20250103_000000_c"), ("infer", "crashed")):
+        (tmp_path / "runs" / stage / run).mkdir(parents=True)
+    assert {(r["run_id"], r["finished"]) for r in readers.read_runs(spark, base, "infer").collect()} == {("20250103_000000_c", False), ("crashed", False)}
+    sinks.append_manifest(spark, base, "20250102_000000_b", "infer", {}, None, GIT)
+    (tmp_path / "runs" / "infer" / "20250103_000000_c" / "manifest.json").write_text(json.dumps({"run_id": "another", "cli_name": "odd"}))
+    runs = readers.read_runs(spark, base)
+    assert {(r["cli_name"], r["run_id"]): r["finished"] for r in runs.collect()} == {
+        ("ingest", "20250101_000000_a"): False, ("infer", "20250102_000000_b"): True, ("infer", "20250103_000000_c"): True, ("infer", "crashed"): False}
+    assert [r[0] for r in telemetry.list_runs(runs, "infer").collect()] == ["crashed", "20250103_000000_c", "20250102_000000_b"]
 
 
 def test_stream_judges_each_file_once(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Metrics, slices, calibration and order statistics against plain Python."""
 
+import hashlib
 import random
 from fractions import Fraction
 
@@ -197,4 +198,9 @@ def test_checksum(spark):
     a, b = telemetry.dataset_checksum(df).first(), telemetry.dataset_checksum(df.repartition(7)).first()
     assert a == b and a["n_rows"] == 1000
     assert telemetry.dataset_checksum(df.union(df.limit(1)).union(df.limit(1))).first()["checksum"] != a["checksum"]
-    assert telemetry.dataset_checksum(df.limit(0)).first()["n_rows"] == 0
+    assert tuple(telemetry.dataset_checksum(df.limit(0)).first()) == (0, 0)
+    rows = [("a", None), ("a", ""), (None, "a"), ("aV1:b", "c"), ("a", "V1:b")]
+    sums = [telemetry.dataset_checksum(spark.createDataFrame([r], "x string, y string")).first()["checksum"] for r in rows]
+    assert len(set(sums)) == len(rows)
+    plain = sum(int(hashlib.md5(f"V{len(str(i))}:{i}V1:{i % 3}".encode()).hexdigest()[:16], 16) for i in range(1000)) % (1 << 64)
+    assert a["checksum"] == plain

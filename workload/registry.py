@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from jurybox.functions import answers, prompts, text
 from jurybox.operators import joins, requests, samples, scores, telemetry, votes
-from jurybox.sources import parsers, readers, registry
+from jurybox.sources import parsers, readers, registry, sinks
+from jurybox.sources.lines import read_lines
 from workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -628,15 +629,34 @@ def list_runs(spark, sf):
 
 @query
 def dataset_checksum(spark, sf):
-    """Row count, and whether the checksum stands against another order of rows."""
+    """Row count and checksum of the documents, with repeated and null values planted."""
     docs = t.documents(spark, sf)
-    a = telemetry.dataset_checksum(docs)
-    b = telemetry.dataset_checksum(docs.repartition(7, "docid"))
-    return a.join(F.broadcast(b.withColumnRenamed("checksum", "other")), "n_rows").select(
-        "n_rows", (F.col("checksum") == F.col("other")).alias("same")
-    )
+    null = F.lit(None).cast("string")
+    planted = docs.where(F.col("line_no") % 5 == 0).unionByName(docs.where(F.col("line_no") % 7 == 0).withColumn("doc", null))
+    c = telemetry.dataset_checksum(docs.unionByName(planted))
+    return c.select("n_rows", F.col("checksum").cast("string").alias("checksum"))
 
 
 @query
 def peek(spark, sf):
-    return readers.peek(spark, f"{sf}/documents.parquet").agg(F.count(F.lit(1)).alias("n"))
+    """How many of the rows peeked at are rows of the table, whole."""
+    return readers.peek(spark, f"{sf}/documents.parquet").intersect(t.table(spark, sf, "documents")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def write_samples(spark, sf):
+    """Samples written as NDJSON in the order of their qrels, read back by line number."""
+    path = t.scratch(spark, "samples")
+    sinks.write_samples(_samples(spark, sf).repartition(5, "docid"), path)
+    good, _ = readers.read_samples(spark, path)
+    return good.select("line_no", "query_id", "docid", "gold_relevance")
+
+
+@query
+def write_judgements(spark, sf):
+    """Judgements written in the order of their samples and models, read back by line number."""
+    path = t.scratch(spark, "judgements")
+    judged = t.judgements(spark, sf).withColumn("line_no", F.regexp_extract("docid", "[0-9]+", 0).cast("bigint"))
+    sinks.write_judgements(judged.repartition(5, "raw_text"), path)
+    lines = read_lines(spark, path)
+    return lines.select("line_no", F.get_json_object("value", "$.docid").alias("docid"), F.get_json_object("value", "$.model_id").alias("model_id"))

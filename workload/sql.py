@@ -288,6 +288,12 @@ ORACLE: dict[str, str] = {
         string_agg(model_id, ',' ORDER BY model_id) FILTER (NOT hit) AS to_ask
       FROM (SELECT line_no, query_id, docid, model_id, EXISTS (SELECT 1 FROM known k WHERE k.model_id = rq.model_id AND k.prompt = rq.prompt) AS hit FROM rq)
       GROUP BY line_no, query_id, docid""",
-    "dataset_checksum": "SELECT count(*) AS n_rows, true AS same FROM documents",
+    "dataset_checksum": f"""WITH {D}, x AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE line_no % 5 = 0
+        UNION ALL SELECT line_no, docid, NULL FROM d WHERE line_no % 7 = 0),
+      c AS (SELECT coalesce('V' || strlen(line_no::VARCHAR) || ':' || line_no, 'N') || coalesce('V' || strlen(docid) || ':' || docid, 'N')
+        || coalesce('V' || strlen(doc) || ':' || doc, 'N') AS t FROM x)
+      SELECT count(*) AS n_rows, (sum(('0x' || left(md5(t), 16))::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR AS checksum FROM c""",
     "peek": "SELECT least(count(*), 50) AS n FROM documents",
+    "write_samples": f"""WITH {S} SELECT row_number() OVER (ORDER BY line_no) AS line_no, query_id, docid, gold_relevance FROM s""",
+    "write_judgements": f"""WITH {J} SELECT row_number() OVER (ORDER BY CAST(docid AS BIGINT), model_id) AS line_no, docid, model_id FROM j""",
 }

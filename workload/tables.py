@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files a query writes: in the shared folder the session names, on one machine in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='jurybox-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def query_id(doc_id: Column) -> Column:
     return (doc_id % 50 + F.when(doc_id % 11 == 0, 1_000_000).otherwise(0)).cast("string")
 
