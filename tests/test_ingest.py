@@ -268,3 +268,18 @@ def test_last_wins_with_repeated_and_null_orders(spark):
     assert last_wins(df, ["k", "v"]).count() == 12
     plan = last_wins(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and "Join" not in plan and "partial_max" in plan
+
+
+def test_lines_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ln, "FILES_AT_ONCE", 64)
+    want = []
+    for i in range(1000):
+        lines_ = [f"{i}-{k}" for k in range(i % 4)]
+        (tmp_path / f"f{i:05d} x.txt").write_text("".join(x + "\n" for x in lines_))
+        want += lines_
+    df = ln.read_lines(spark, str(tmp_path))
+    got = [tuple(r) for r in df.orderBy("line_no").collect()]
+    assert got == [(n + 1, x) for n, x in enumerate(want)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 2 and all("[_path#" in line or "[_group#" in line for line in windows)
