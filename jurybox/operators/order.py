@@ -111,9 +111,13 @@ def percentiles(
         ranks[f"_l_{k}"] = F.floor(last * p)
         ranks[f"_h_{k}"] = F.ceil(last * p)
     values = order_statistics(df, value, ranks, by)
-    totals = df.groupBy(_group(by)).agg(*extra, (F.count(value) - 1).alias("_last"))
-    found = values.select(_group(by), *[c for c in values.columns if c not in by])
-    joined = totals.join(found, "_g", "left")
+    if by:
+        totals = df.groupBy(_group(by)).agg(*extra, (F.count(value) - 1).alias("_last"))
+        found = values.select(_group(by), *[c for c in values.columns if c not in by])
+        joined = totals.join(found, "_g", "left")
+    else:  # one row, also of no rows: the values found are looked up by a scalar subquery
+        totals = df.agg(*extra, (F.count(value) - 1).alias("_last"))
+        joined = totals.withColumn("_found", values.select(F.struct(*ranks)).scalar()).select("*", "_found.*")
 
     def point(k: str, p: float) -> Column:
         # The same steps as Spark's `percentile`, so that both forms agree to the last bit.

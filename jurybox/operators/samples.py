@@ -13,7 +13,7 @@ from jurybox.sources.parsers import DATASET
 TEXT_BYTES = 4096  # about a document's text, which a join repeats for each of its qrels
 
 def build_samples(
-    qrels: DataFrame, queries: DataFrame, documents: DataFrame, salted: bool | None = None
+    qrels: DataFrame, queries: DataFrame, documents: DataFrame, salted: bool | None = None, dataset: str = DATASET,
 ) -> DataFrame:
     """qrels joined to their query and document; duplicate qrels are kept.
 
@@ -36,7 +36,7 @@ def build_samples(
         joined = lookup_join(keyed, last_wins(documents, "docid").select("docid", "doc"), "docid", salted=False)
     return joined.select(
         "line_no",
-        F.lit(DATASET).alias("dataset"),
+        F.lit(dataset).alias("dataset"),
         "query_id",
         "query_text",
         "docid",

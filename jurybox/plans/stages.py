@@ -22,7 +22,7 @@ from jurybox.operators import samples as sm
 from jurybox.operators import scores as sc
 from jurybox.operators import telemetry as tm
 from jurybox.operators.votes import STRATEGIES
-from jurybox.sources.parsers import ADAPTERS, Rejects, resolve_dataset, split_marked
+from jurybox.sources.parsers import ADAPTERS, DATASETS, Rejects, resolve_dataset, split_marked
 from jurybox.sources.registry import MODELS, WEIGHTS, ModelSpec, models_df
 from jurybox.sources.sinks import (
     SliceLog, append_manifest, run_path, write_head, write_judgements, write_metrics, write_run_parquet, write_samples,
@@ -59,7 +59,7 @@ def ingest(
         rejected[name] = rejects.check(strict)
         parsed[name] = split_marked(spark.read.parquet(path), name)[0]
     qrels, queries, documents = (parsed[t] for t in ("qrels", "queries", "documents"))
-    samples = sm.build_samples(qrels, queries, documents)
+    samples = sm.build_samples(qrels, queries, documents, dataset=DATASETS[key])
     if limit is not None:
         samples = sm.limit_samples(samples, limit)
     path = write_run_parquet(samples, base, "ingest", run_id, "samples")

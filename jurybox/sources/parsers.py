@@ -179,10 +179,13 @@ def read_judge_dataset(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     }
 
 
-# Dataset adapters by name: function (spark, directory) -> {table: marked table}.
+# Dataset adapters by name: function (spark, directory) -> {table: marked table}, and the dataset its samples carry.
 Adapter = Callable[[SparkSession, str], dict[str, DataFrame]]
 ADAPTERS: dict[str, Adapter] = {name: read_judge_dataset for name in DATASET_NAMES}
+DATASETS: dict[str, str] = {name: DATASET for name in DATASET_NAMES}
 
 
-def register_adapter(name: str, reader: Adapter) -> None:
+def register_adapter(name: str, reader: Adapter, dataset: str | None = None) -> None:
+    """Add a dataset by name; its samples carry `dataset`, or the name itself."""
     ADAPTERS[name] = reader
+    DATASETS[name] = dataset or name

@@ -14,7 +14,7 @@ from jurybox import schemas
 from jurybox.functions.text import blank, strip, to_bigint
 from jurybox.sources.lines import read_lines
 from jurybox.sources.parsers import (
-    DATASET, Parsed, check, is_text, json_object, mark, parsed_lines, split_marked, variant_text,
+    DATASETS, Parsed, check, is_text, json_object, mark, parsed_lines, split_marked, variant_text,
 )
 from jurybox.sources.sinks import children
 
@@ -34,7 +34,7 @@ def parse_samples(lines: DataFrame) -> Parsed:
     gold = F.when(kind == "STRING", to_bigint(strip(as_text))).when(
         kind != "BOOLEAN", to_bigint(F.regexp_replace(as_text, r"\.0*$", ""))
     )
-    known = F.coalesce(variant_text("_s.dataset") == DATASET, F.lit(False))
+    known = F.coalesce(variant_text("_s.dataset").isin(*sorted(set(DATASETS.values()))), F.lit(False))
     ok = is_text(*[f"_s.{c}" for c in text]) & known & gold.isNotNull()
     reason = F.when(F.col("_s").isNull(), F.lit("Invalid JSON")).when(~ok, F.lit("Invalid sample"))
     good = [variant_text(f"_s.{c}").alias(c) for c in text]

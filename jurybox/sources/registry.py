@@ -13,10 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A panel is configuration; this bounds what fan_out and the votes multiply by.
-MAX_PANEL = 1000
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     model_id: str
@@ -52,8 +48,6 @@ def check_panel(specs: Sequence[ModelSpec]) -> Sequence[ModelSpec]:
     ids = [s.model_id for s in specs]
     if len(set(ids)) != len(ids):
         raise ValueError("model_id must be unique in the registry")
-    if len(ids) > MAX_PANEL:
-        raise ValueError(f"at most {MAX_PANEL} models form a panel, got {len(ids)}")
     return specs
 
 

@@ -177,6 +177,19 @@ def test_stage_errors(spark, tmp_path, dataset):
     assert tuple(counts.first()) == (0, 0, 1)
 
 
+def test_samples_carry_their_adapter_s_dataset(spark, tmp_path, dataset):
+    from jurybox.sources import parsers
+
+    parsers.register_adapter("own-set", parsers.read_judge_dataset, "own-set-7")
+    try:
+        made = plans.ingest(spark, dataset, str(tmp_path), "r", dataset="Own-Set ")
+        assert {r["dataset"] for r in made.table.collect()} == {"own-set-7"}
+        again, bad = readers.read_samples(spark, f"{tmp_path}/runs/ingest/r/samples.ndjson")
+        assert again.count() == 3 and bad.count() == 0
+    finally:
+        del parsers.ADAPTERS["own-set"], parsers.DATASETS["own-set"]
+
+
 def test_rejects_are_counted_in_one_scan(spark, tmp_path):
     from jurybox.sources.parsers import Rejects, mark_qrels
     from jurybox.sources.lines import read_lines

@@ -160,6 +160,8 @@ def test_describe_is_that_of_pandas(spark):
     values = [float(x % 97) / 3 for x in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "latency_ms double")
     want = pd.Series(values).describe()
+    nothing = telemetry.describe_latency(df.limit(0)).collect()
+    assert [(r["count"], r["p50"]) for r in nothing] == [(0, None)]
     got = telemetry.describe_latency(df).first()
     assert [got[c] for c in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")] == pytest.approx(list(want))
 

@@ -208,7 +208,7 @@ ORACLE: dict[str, str] = {
     "infer_summary": f"""WITH {J} SELECT model_id, count(*) AS judgement_count, count(*) - count(label) AS error_count,
       round(avg(latency_ms), 6) AS avg_latency_ms FROM j GROUP BY model_id""",
     "cost_latency": COST,
-    "cost_latency_ranks": COST.replace("SELECT model_id, count", ", k AS (SELECT * REPLACE (CASE WHEN latency_ms % 1000 = 137 THEN latency_ms * 1e12 ELSE latency_ms END AS latency_ms) FROM j) SELECT model_id, count").replace("FROM j GROUP", "FROM k GROUP"),
+    "cost_latency_ranks": COST.replace("SELECT model_id, count", ", k AS (SELECT * REPLACE (CASE WHEN latency_ms % 1000 = 137 THEN latency_ms * 1e6 ELSE latency_ms END AS latency_ms) FROM j) SELECT model_id, count").replace("FROM j GROUP", "FROM k GROUP"),
     "majority_vote": f"WITH {J}, {_vote('j', 'CAST(1 AS DECIMAL(18,6))')} {DECISION}",
     "weighted_vote": f"WITH {J}, {_vote('j')} {DECISION}",
     "partial_vote": f"""WITH {J}, jp AS (SELECT * FROM j WHERE model_id <> 'phi3-mini' AND label IS NOT NULL),
