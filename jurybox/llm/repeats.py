@@ -31,7 +31,7 @@ from jurybox.llm.tokens import chunks, spread
 LENGTH = 100
 K = 32
 CHUNK_BYTES = 2 << 20
-BUCKET_ANCHORS = 1_000_000
+BUCKET_ANCHORS = 250_000
 BUCKET_BYTES = 2 << 20  # context bytes of a group, on average
 HOT = 50_000
 
