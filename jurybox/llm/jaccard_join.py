@@ -478,9 +478,10 @@ def _bytes(column: str):
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are the least of their component, once each; rows with a null id stay.
 
-    Texts that share an id are one document: they stay or go together, and repeated rows stay once.
+    Texts that share an id are one document: they stay or go together, and one row of them stays. Which
+    one it is, where their texts differ, is not fixed; give every text an id of its own.
     """
     found = near_duplicates(docs.where(F.col(doc_id).isNotNull()), n, threshold, doc_id, text)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
     kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]).union(kept.where(F.col(doc_id).isNull()))
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).union(kept.where(F.col(doc_id).isNull()))
