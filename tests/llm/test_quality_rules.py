@@ -59,3 +59,10 @@ def test_keep_good(documents):
 def test_no_user_functions(documents):
     plan = qr.judge_quality(documents([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow(?!Scan)|Exchange", plan.replace("LocalTableScan", ""))
+
+
+def test_the_filter_computes_nothing_twice(documents):
+    df = documents([(1, "a few words of text")])
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (qr.judge_quality(df), qr.keep_good(df))]
+    for step in ("regexp_replace", "sort_array", "xxhash64"):
+        assert plans[0].count(step) == plans[1].count(step)
