@@ -108,8 +108,7 @@ def op4_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lm_score.score(docs, *lm_score.fit(docs))
+    return lm_score.fit_and_score(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query
