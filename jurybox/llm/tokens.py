@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_RUNS = 600_000  # about 50 bytes each
+MEMO_RUNS = 1_200_000  # about 50 bytes each
 MEMO_CHARS = 64  # longer runs are encoded anew each time
 CHUNK_BYTES = 8 << 20  # text handled at once, except for a single longer text
 
