@@ -167,12 +167,21 @@ def contexts(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + shift] for shift in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Of each column: sums over the first axis run over whole rows of memory."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
     return logits
 
 
+def _log_share(logits: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """The logarithm of each column's softmax at its taken row."""
+    logits -= logits.max(axis=0)
+    own = logits[taken, np.arange(len(taken))]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=0))
+
+
 @dataclass
 class Network:
     """Weights, all float32."""
@@ -217,12 +226,11 @@ class Network:
     def log_likelihood(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Each word's log-probability of its class, given its neighbours."""
         _, h = self.see(near)
-        out = np.take_along_axis(_log_softmax(h @ self.top + self.top_bias), (ids // SIDE).astype(np.int64)[:, None], 1)[:, 0]
+        out = _log_share(self.top.T @ h.T + self.top_bias[:, None], (ids // SIDE).astype(np.int64))
         order, groups = self.by_group(ids)
         member, h = (ids % SIDE).astype(np.int64)[order], h[order]
         for g, a, b in groups:
-            logp = _log_softmax(h[a:b] @ self.low[g] + self.low_bias[g])
-            out[order[a:b]] += logp[np.arange(b - a), member[a:b]]
+            out[order[a:b]] += _log_share(self.low[g].T @ h[a:b].T + self.low_bias[g][:, None], member[a:b])
         return out
 
 
@@ -252,17 +260,17 @@ class Trainer:
         order, groups = net.by_group(y)
         y, h = y[order], h[order]
         group, member = (y // SIDE).astype(np.int64), (y % SIDE).astype(np.int64)
-        miss = np.exp(_log_softmax(h @ net.top + net.top_bias))
-        miss[np.arange(n), group] -= 1
-        back = miss @ net.top.T
+        miss = _softmax(net.top.T @ h.T + net.top_bias[:, None])
+        miss[group, np.arange(n)] -= 1
+        back = miss.T @ net.top.T
         steps = []
         for g, a, b in groups:
-            off = np.exp(_log_softmax(h[a:b] @ net.low[g] + net.low_bias[g]))
-            off[np.arange(b - a), member[a:b]] -= 1
-            back[a:b] += off @ net.low[g].T
-            steps.append((g, h[a:b].T @ off, off.sum(axis=0)))
-        self._step("top", h.T @ miss)
-        self._step("top_bias", miss.sum(axis=0))
+            off = _softmax(net.low[g].T @ h[a:b].T + net.low_bias[g][:, None])
+            off[member[a:b], np.arange(b - a)] -= 1
+            back[a:b] += off.T @ net.low[g].T
+            steps.append((g, (off @ h[a:b]).T, off.sum(axis=1)))
+        self._step("top", (miss @ h).T)
+        self._step("top_bias", miss.sum(axis=1))
         met = [g for g, _, _ in steps]
         self._step("low", np.stack([w for _, w, _ in steps]), met)
         self._step("low_bias", np.stack([w for _, _, w in steps]), met)
@@ -324,7 +332,9 @@ def train(coded: DataFrame, words: Words) -> Model:
     shards = coded.where("ids IS NOT NULL AND n_words > 0").select(F.pmod("key", F.lit(each * ROUNDS)).alias("shard"), "key", "ids")
     for part in range(ROUNDS):
         weights = spark.sparkContext.broadcast(flat)
-        mine = shards.where(F.pmod("shard", F.lit(ROUNDS)) == part).repartition(min(each, MAX_TASKS), "shard")
+        tasks = min(each, MAX_TASKS)
+        mine = shards.where(F.pmod("shard", F.lit(ROUNDS)) == part).repartitionById(
+            tasks, F.pmod(F.floor(F.col("shard") / ROUNDS), F.lit(tasks)).cast("int"))
         trained = mine.sortWithinPartitions("shard", "key", "ids").mapInArrow(_train(weights), "place int, value double, seen bigint")
         means = trained.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("w")).collect()
         flat = flat.copy()
