@@ -30,6 +30,7 @@ from jurybox.llm.components import components
 from jurybox.llm.tokens import chunks, spread
 
 CHUNK_BYTES = 8 << 20
+SET_BYTES = 2 << 20  # text whose sets are hashed at once; sets are made row by row, so this only bounds memory
 BUCKET_SHINGLES = 3_000_000  # shingles a frequency group holds, on average
 HEAVY_PART = 200  # shingles in over 1/200 of the documents are spread by class, not by hash
 MAX_LEVEL = 4
@@ -102,7 +103,7 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", CHUNK_BYTES):
+            for part in chunks(batch, "text", SET_BYTES):
                 hashes, bounds = shingles(part.column("text"), n)
                 k1, k2 = _keys(hashes, bounds)
                 yield pa.RecordBatch.from_arrays(
