@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -80,25 +81,31 @@ def json_object(value: Column, fields: Sequence[str]) -> Column:
     return F.transform(F.filter(F.array(both), lambda o: F.size(o) == 2), lambda o: o[0])
 
 
-def variant_text(path: str) -> Column:
-    return F.expr(f"try_variant_get({path}, '$', 'string')")
+def variant_text(v: Column | str) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def is_text(*paths: str) -> Column:
+def is_text(*variants: Column | str) -> Column:
     """Whether every VARIANT is a JSON string."""
-    return F.expr(" AND ".join(f"coalesce(schema_of_variant({p}) = 'STRING', false)" for p in paths))
+    return reduce(Column.__and__, [F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)) for v in variants])
 
 
 def mark_documents(lines: DataFrame) -> DataFrame:
-    """One JSON object per line with string fields docid and doc."""
+    """One JSON object per line with string fields docid and doc.
+
+    The fields leave the generator as strings. Spark's size estimate takes a VARIANT for 2 kB and what is
+    read out of it for 20 bytes: large tables of documents would pass for small ones and be broadcast.
+    """
     value = F.col("value")
-    parts = parsed_lines(lines, ~blank(value), _o=json_object(value, ["docid", "doc"]))
-    parts = parts.withColumn("_d", F.get("_o", F.lit(0)))
-    reason = F.when(F.col("_d").isNull(), F.lit("Invalid JSONL")).when(
-        ~is_text("_d.docid", "_d.doc"), F.lit("Missing docid/doc")
-    )
-    good = [variant_text("_d.docid").alias("docid"), variant_text("_d.doc").alias("doc")]
-    return mark(parts, reason, good)
+
+    def fields(o: Column) -> Column:
+        reason = F.when(o.isNull(), F.lit("Invalid JSONL")).when(~is_text(o["docid"], o["doc"]), F.lit("Missing docid/doc"))
+        return F.struct(reason.alias("reason"), variant_text(o["docid"]).alias("docid"), variant_text(o["doc"]).alias("doc"))
+
+    # A lambda's argument is evaluated once per line, a shared expression of the struct's fields is not.
+    parsed = F.transform(F.array(F.get(json_object(value, ["docid", "doc"]), F.lit(0))), fields)
+    parts = parsed_lines(lines, ~blank(value), _d=F.get(parsed, F.lit(0)))
+    return mark(parts, F.col("_d.reason"), [F.col("_d.docid").alias("docid"), F.col("_d.doc").alias("doc")])
 
 
 def mark_qrels(lines: DataFrame) -> DataFrame:

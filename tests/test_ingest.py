@@ -219,6 +219,18 @@ def test_same_result_for_any_partitioning(spark, lines):
     assert len(want) > 100
 
 
+def test_parsed_documents_keep_their_size(spark, tmp_path):
+    """What decides on a broadcast is near the size of the texts, not a small part of it."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.sha2((F.col("id") * 20 + i).cast("string"), 256))
+    made = spark.range(1000).select(F.col("id").cast("string").alias("docid"), F.array_join(words, " ").alias("doc"))
+    made.select((F.col("docid").cast("bigint") + 1).alias("line_no"), F.to_json(F.struct("docid", "doc")).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/lines")
+    stored = spark.read.parquet(f"{tmp_path}/lines")
+    good = parsers.parse_documents(stored)[0]
+    assert joins.estimated_bytes(stored) > 500_000
+    assert joins.estimated_bytes(good) > joins.estimated_bytes(stored) / 3
+    assert good.agg(F.sum(F.length("doc"))).first()[0] == 1000 * (20 * 65 - 1)
+
+
 def test_hot_query_and_document(spark, monkeypatch):
     """One query and one document hold a third of all qrels; their rows reach many tasks."""
     monkeypatch.setattr(joins, "HOT_BYTES", 100 * 4096)

@@ -48,5 +48,45 @@ def test_large_tables_are_spread(plans):
     assert "_salt" in plans["build_samples_spread"] and "_salt" not in plans["build_samples"]
 
 
+# Each makes samples with their text; limit_examples and the like need only the keys.
+WITH_TEXT = (
+    "build_samples", "build_samples_spread", "limit_samples", "parse_samples", "to_canonical_sample", "token_budget", "render_prompt",
+    "render_prompt_aspects", "render_relevance_v1", "build_requests", "judge", "cache_split", "cache_split_unanswered",
+)
+
+
+@pytest.fixture
+def threshold(spark):
+    """Broadcasts up to 64 kB: the smallest documents, 290 kB as a file, are above, all other tables below."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    yield
+    spark.conf.set(key, before)
+
+
+def broadcasts(plan):
+    """The columns of every broadcast in a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind in ("AdaptiveSparkPlanExec", "ResultQueryStageExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+        return broadcasts(plan.executedPlan() if kind.startswith("Adaptive") else plan.plan())
+    below = plan.children()
+    found = [plan.output().mkString(",")] if kind == "BroadcastExchangeExec" else []
+    return found + [x for i in range(below.size()) for x in broadcasts(below.apply(i))]
+
+
+@pytest.mark.parametrize("name", WITH_TEXT)
+def test_documents_above_the_threshold_are_spread(spark, threshold, name):
+    assert "_salt" in plan_of(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["build_samples", "build_samples_spread"])
+def test_texts_above_the_threshold_are_not_broadcast(spark, threshold, name):
+    df = QUERIES[name](spark, SF)
+    assert df.collect()
+    sent = broadcasts(df._jdf.queryExecution().executedPlan())
+    assert sent and not any("doc#" in columns for columns in sent)
+
+
 def test_votes_are_combined_before_the_shuffle(plans):
     assert "partial_max" in plans["weighted_vote"] and "partial_sum" in plans["weighted_vote"]
