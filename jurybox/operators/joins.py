@@ -72,6 +72,7 @@ def lookup_join(
     hot: DataFrame | None = None,
     hot_on: Sequence[str] | None = None,
     row_bytes: int = ROW_BYTES,
+    greatest: str | None = None,
 ) -> DataFrame:
     """Join `left` to `right`, whose key `on` is unique.
 
@@ -81,13 +82,14 @@ def lookup_join(
     Rows equal in all `spread_by` columns stay together: give a column that is
     unique per row, such as line_no. `hot` is the result of `hot_keys` where the
     caller has it, over the columns `hot_on` (default: `on`); any bounded set of keys
-    keeps the result right. `row_bytes` is about the size of a lookup row.
+    keeps the result right. `row_bytes` is about the size of a lookup row. Where keys of `right` may repeat
+    all the same, `greatest` names the column by which `last_wins` takes one row, in the exchange of a spread join.
     """
     on = [on] if isinstance(on, str) else list(on)
     if salted is None:
         salted = not fits_broadcast(right)
     if not salted:
-        return left.join(right, on, how)
+        return left.join(last_wins(right, on, greatest) if greatest else right, on, how)
 
     hot = F.broadcast(hot_keys(left, on, share, min_rows, row_bytes) if hot is None else hot)
 
@@ -102,6 +104,8 @@ def lookup_join(
     left_parts = with_parts(left).withColumn("_salt", salt).drop("_parts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
     right_parts = with_parts(right).withColumn("_salt", F.explode(copies)).drop("_parts")
+    if greatest:
+        right_parts = last_wins(right_parts, [*on, "_salt"], greatest)
     return left_parts.join(right_parts, [*on, "_salt"], how).drop("_salt")
 
 

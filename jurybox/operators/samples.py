@@ -11,6 +11,7 @@ from jurybox.operators.order import smallest
 from jurybox.sources.parsers import DATASET
 
 TEXT_BYTES = 4096  # about a document's text, which a join repeats for each of its qrels
+NO_LINE = -(1 << 63)  # stands for a null line_no, which loses to any other
 
 def build_samples(
     qrels: DataFrame, queries: DataFrame, documents: DataFrame, salted: bool | None = None, dataset: str = DATASET,
@@ -21,17 +22,22 @@ def build_samples(
     highest line_no wins. For large documents this is settled on
     (docid, line_no) alone and the text is fetched by the winning line_no: it
     is shuffled once, and replaced or unreferenced texts find no partner.
+    `salted=True` takes that form for documents of unique line numbers; by
+    default the size decides, and the rows are those of `last_wins` in both.
     """
+    greatest = None
     if salted is None:
-        salted = not fits_broadcast(documents)
+        salted, greatest = not fits_broadcast(documents), "doc"
     texts = last_wins(queries, "query_id").select("query_id", "query_text")
     keyed = lookup_join(qrels, texts, "query_id", spread_by=["line_no"])
     if salted:
+        if greatest:
+            documents = documents.withColumn("line_no", F.coalesce("line_no", F.lit(NO_LINE)))
         winners = documents.groupBy("docid").agg(F.max("line_no").alias("_line"))
         by_line = documents.select("docid", F.col("line_no").alias("_line"), "doc")
         hot = hot_keys(qrels, ["docid"], row_bytes=TEXT_BYTES)
         keyed = lookup_join(keyed, winners, "docid", spread_by=["line_no"], salted=True, hot=hot)
-        joined = lookup_join(keyed, by_line, ["docid", "_line"], spread_by=["line_no"], salted=True, hot=hot, hot_on=["docid"])
+        joined = lookup_join(keyed, by_line, ["docid", "_line"], spread_by=["line_no"], salted=True, hot=hot, hot_on=["docid"], greatest=greatest)
     else:
         joined = lookup_join(keyed, last_wins(documents, "docid").select("docid", "doc"), "docid", salted=False)
     return joined.select(

@@ -231,6 +231,26 @@ def test_parsed_documents_keep_their_size(spark, tmp_path):
     assert good.agg(F.sum(F.length("doc"))).first()[0] == 1000 * (20 * 65 - 1)
 
 
+def test_large_documents_with_repeated_and_null_lines(spark):
+    """Chosen by size, the spread form takes the row that `last_wins` takes."""
+    rows = [("d0", 1, "old"), ("d0", 2, "new"), ("d1", 1, "a"), ("d1", 1, "a"), ("d2", 3, "b"), ("d2", 3, "c"), ("d3", None, "n"), ("d3", None, "m"),
+            ("d4", None, "z"), ("d4", -5, "y"), (None, 4, "x")]
+    documents = spark.createDataFrame([(n, k, v) for k, n, v in rows], "line_no bigint, docid string, doc string")
+    queries = spark.createDataFrame([(1, "q", "text")], "line_no bigint, query_id string, query_text string")
+    qrels = spark.createDataFrame([(i + 1, "q", f"d{i % 6}", 1) for i in range(12)], "line_no bigint, query_id string, docid string, relevance bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = samples.build_samples(qrels, queries, documents)
+        assert "_salt" in spread._jdf.queryExecution().executedPlan().toString()
+        got = [(r["line_no"], r["doc"]) for r in spread.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plain = samples.build_samples(qrels, queries, documents, salted=False)
+    assert got == [(r["line_no"], r["doc"]) for r in plain.orderBy("line_no").collect()]
+    assert [v for _, v in got] == ["new", "a", "c", "n", "y"] * 2
+
+
 def test_hot_query_and_document(spark, monkeypatch):
     """One query and one document hold a third of all qrels; their rows reach many tasks."""
     monkeypatch.setattr(joins, "HOT_BYTES", 100 * 4096)
