@@ -88,5 +88,19 @@ def test_texts_above_the_threshold_are_not_broadcast(spark, threshold, name):
     assert sent and not any("doc#" in columns for columns in sent)
 
 
+# Each is run as a whole: what is broadcast is settled only while it runs.
+SENDS_NO_TEXT = (
+    "build_requests",
+)
+
+
+@pytest.mark.parametrize("name", SENDS_NO_TEXT)
+def test_no_text_is_sent_to_the_driver(spark, threshold, name):
+    df = QUERIES[name](spark, SF)
+    assert df.collect()
+    sent = broadcasts(df._jdf.queryExecution().executedPlan())
+    assert sent and not any("doc#" in columns for columns in sent)
+
+
 def test_votes_are_combined_before_the_shuffle(plans):
     assert "partial_max" in plans["weighted_vote"] and "partial_sum" in plans["weighted_vote"]
