@@ -91,6 +91,7 @@ def test_texts_above_the_threshold_are_not_broadcast(spark, threshold, name):
 # Each is run as a whole: what is broadcast is settled only while it runs.
 SENDS_NO_TEXT = (
     "build_requests",
+    "cache_split",
 )
 
 
