@@ -92,6 +92,7 @@ def test_texts_above_the_threshold_are_not_broadcast(spark, threshold, name):
 SENDS_NO_TEXT = (
     "build_requests",
     "cache_split",
+    "cache_split_unanswered",
 )
 
 
