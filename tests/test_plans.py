@@ -93,6 +93,7 @@ SENDS_NO_TEXT = (
     "build_requests",
     "cache_split",
     "cache_split_unanswered",
+    "judge",
 )
 
 
