@@ -94,6 +94,7 @@ SENDS_NO_TEXT = (
     "cache_split",
     "cache_split_unanswered",
     "judge",
+    "limit_samples",
 )
 
 
