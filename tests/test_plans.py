@@ -95,6 +95,7 @@ SENDS_NO_TEXT = (
     "cache_split_unanswered",
     "judge",
     "limit_samples",
+    "render_prompt",
 )
 
 
