@@ -96,6 +96,7 @@ SENDS_NO_TEXT = (
     "judge",
     "limit_samples",
     "render_prompt",
+    "render_prompt_aspects",
 )
 
 
