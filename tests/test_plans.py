@@ -97,6 +97,7 @@ SENDS_NO_TEXT = (
     "limit_samples",
     "render_prompt",
     "render_prompt_aspects",
+    "render_relevance_v1",
 )
 
 
