@@ -2,6 +2,7 @@
 
 import pytest
 
+from jurybox.sources import sinks
 from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -110,5 +111,13 @@ def test_no_text_is_sent_to_the_driver(spark, threshold, name):
     assert sent and not any("doc#" in columns for columns in sent)
 
 
+def test_written_samples_send_no_text_to_the_driver(spark, threshold, monkeypatch):
+    written, write = [], sinks.write_samples
+    monkeypatch.setattr(sinks, "write_samples", lambda df, path: (written.append(df), write(df, path)))
+    assert QUERIES["write_samples"](spark, SF).collect() and written[0].collect()
+    sent = broadcasts(written[0]._jdf.queryExecution().executedPlan())
+    assert sent and not any("doc#" in columns for columns in sent)
+
+
 def test_votes_are_combined_before_the_shuffle(plans):
     assert "partial_max" in plans["weighted_vote"] and "partial_sum" in plans["weighted_vote"]
