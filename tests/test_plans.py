@@ -100,6 +100,7 @@ SENDS_NO_TEXT = (
     "render_prompt_aspects",
     "render_relevance_v1",
     "to_canonical_sample",
+    "parse_samples",
 )
 
 
