@@ -101,6 +101,7 @@ SENDS_NO_TEXT = (
     "render_relevance_v1",
     "to_canonical_sample",
     "parse_samples",
+    "token_budget",
 )
 
 
