@@ -250,7 +250,9 @@ def judge(
                 answers = pd.DataFrame(
                     rows, columns=["raw_text", "version", "latency_ms", "retries", "cost_estimate"], index=batch.index
                 )
-                yield pd.concat([batch[kept], answers], axis=1)
+                judged = pd.concat([batch[kept], answers], axis=1)
+                del batch, rows, answers  # else their prompts stay while the next batch is read
+                yield judged
 
     return requests.mapInPandas(ask, f"{schema}, {_JUDGED}")
 

@@ -1,7 +1,9 @@
 """Fan-out, model settings, requests, cache, judging, validation."""
 
 import time
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +310,26 @@ def test_infer_goes_on_after_a_failed_slice(spark, tmp_path):
     assert again.table.count() == 60 and again.table.where("label = 2").count() == 60
     with pytest.raises(ValueError, match="other settings"):
         sinks.SliceLog(spark, f"{base}/runs/infer/r/answers", 4, {}).finished()
+
+
+def test_judge_lets_go_of_a_batch_before_the_next_is_read(spark, asked, monkeypatch):
+    taken = []
+    monkeypatch.setattr(type(asked), "mapInPandas", lambda self, ask, schema: taken.append(ask))
+
+    def factory():
+        return lambda request: {"raw_text": request["messages"][0]["content"]}
+
+    rq.judge(asked, factory, partitions=0)
+    given, alive = [], []
+
+    def batches():
+        for k in range(3):
+            alive.append(sum(r() is not None for r in given))
+            kept = {c: [f"{c}{k}"] for c in asked.columns if c != "request"}
+            frame = pd.DataFrame({**kept, "request": [{"messages": [{"content": f"prompt {k}"}]}]})
+            given.append(weakref.ref(frame))
+            yield frame
+            del frame
+
+    answers = [out["raw_text"].tolist() for out in taken[0](batches())]
+    assert answers == [["prompt 0"], ["prompt 1"], ["prompt 2"]] and alive == [0, 0, 0]
